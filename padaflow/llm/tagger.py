@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from random import Random
 
 import numpy as np
 
@@ -115,7 +116,9 @@ class Tagger:
                 ds = ds + part[t]
                 dc = dc + ds * o * (1 - squashed**2)
                 dz = np.concatenate([dc * new * i * (1 - i), dc * prior * f * (1 - f), ds * squashed * o * (1 - o), dc * i * (1 - new**2)], axis=1)
-                np.add.at(g["x" + d], ids[:, t], dz)
+                one = np.zeros((n, CLASSES))
+                one[rows, ids[:, t]] = 1
+                g["x" + d] += one.T @ dz
                 g["r" + d] += before.T @ dz
                 ds, dc = dz @ r.T, dc * f
         return float((total - gold).mean()), {k: v / n for k, v in g.items()}
@@ -138,24 +141,23 @@ class Tagger:
         return out
 
 
-def _digits(rng: np.random.Generator, n: int) -> str:
-    return "".join(map(str, rng.integers(0, 10, n)))
+def _digits(rng: Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
 
 
-def _word(rng: np.random.Generator, low: int = 2, high: int = 10) -> str:
-    return "".join(rng.choice(list("abcdefghijklmnoprstuvwyzäéñ"), rng.integers(low, high)))
+def _word(rng: Random, low: int = 2, high: int = 10) -> str:
+    return "".join(rng.choices("abcdefghijklmnoprstuvwyzäéñ", k=rng.randrange(low, high)))
 
 
-def _card(rng: np.random.Generator) -> str:
-    body = str(rng.integers(3, 6)) + _digits(rng, 14)
+def _card(rng: Random) -> str:
+    body = rng.choice("345") + _digits(rng, 14)
     check = next(c for c in "0123456789" if luhn(body + c))
-    sep = rng.choice(["", "", " ", "-", ".", "/"])
-    return sep.join((body + check)[k : k + 4] for k in range(0, 16, 4))
+    return rng.choice(["", "", " ", "-", ".", "/"]).join((body + check)[k : k + 4] for k in range(0, 16, 4))
 
 
-def _phone(rng: np.random.Generator) -> str:
-    a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{_digits(rng, 2)} {a} {b} {c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"00{_digits(rng, 2)} {a} {b}{c}", f"{a}.{b}.{c}"]))
+def _phone(rng: Random) -> str:
+    a, b, c, d = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4), _digits(rng, 2)
+    return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{d} {a} {b} {c}", f"{a}-{b}-{c}", f"+1-{a}-{b}-{c}", f"1 ({a}) {b}-{c}", f"00{d} {a} {b}{c}", f"{a}.{b}.{c}"])
 
 
 def luhn(digits: str) -> bool:
@@ -166,41 +168,39 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
-    """A text of about three windows, and its labelled spans (start, end, kind); some look alike but aren't personal."""
-    makers = [
-        (0, lambda: f"{_word(rng)}.{_digits(rng, 2)}@{_word(rng)}{_digits(rng, 1)}.{_word(rng)}.com"),
-        (0, lambda: f"{_word(rng)}{rng.choice(['_', '+', ''])}{_word(rng)}@{_word(rng, 3)}.{rng.choice(['org', 'net', 'de', 'fr'])}"),
-        (1, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))),
-        (2, lambda: _card(rng)),
-        (3, lambda: _phone(rng)),
-        (3, lambda: _phone(rng)),
-        (None, lambda: f"{_digits(rng, 1)}.{_digits(rng, 1)}"),
-        (None, lambda: f"{rng.integers(1900, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"),
-        (None, lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(12, 41)))),
-        (None, lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))),
-        (None, lambda: _digits(rng, int(rng.integers(1, 24)))),
-        (None, lambda: f"{_digits(rng, 2)},{_digits(rng, 3)}.{_digits(rng, 2)}"),
-        (None, lambda: ".".join(str(x) for x in rng.integers(0, 30, 3))),
-        (None, lambda: f"@{_word(rng)}"),
-    ]
-    parts, spans, at = [], [], 0
-    for _ in range(rng.integers(2, 5)):
-        for _ in range(rng.integers(1, 7)):
-            w = _word(rng) + str(rng.choice(["", "", "", ",", ".", ".\n"])) + " "
-            parts.append(w)
-            at += len(w)
-        kind, make = makers[rng.integers(len(makers))]
-        piece = make()
+#: Makers of spans by kind; those of no kind look alike but aren't personal.
+MAKERS = (
+    (0, lambda r: f"{_word(r)}.{_digits(r, 2)}@{_word(r)}{_digits(r, 1)}.{_word(r)}.com"),
+    (0, lambda r: f"{_word(r)}{r.choice(['_', '+', ''])}{_word(r)}@{_word(r, 3)}.{r.choice(['org', 'net', 'de', 'fr'])}"),
+    (1, lambda r: ".".join(str(r.randrange(256)) for _ in range(4))),
+    (2, _card),
+    (3, _phone),
+    (3, _phone),
+    (None, lambda r: f"{_digits(r, 1)}.{_digits(r, 1)}"),
+    (None, lambda r: f"{r.randrange(1900, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}"),
+    (None, lambda r: "".join(r.choices("0123456789abcdef", k=r.randrange(12, 41)))),
+    (None, lambda r: "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))),
+    (None, lambda r: _digits(r, r.randrange(1, 24))),
+    (None, lambda r: f"{_digits(r, 2)},{_digits(r, 3)}.{_digits(r, 2)}"),
+    (None, lambda r: ".".join(str(r.randrange(30)) for _ in range(3))),
+    (None, lambda r: f"@{_word(r)}"),
+)
+
+
+def example(rng: Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A text of about three windows, and its labelled spans (start, end, kind)."""
+    text, spans = "", []
+    for _ in range(rng.randrange(2, 5)):
+        text += "".join(_word(rng) + rng.choice(["", "", "", ",", ".", ".\n"]) + " " for _ in range(rng.randrange(1, 7)))
+        kind, make = rng.choice(MAKERS)
+        piece = make(rng)
         if kind is not None:
-            spans.append((at, at + len(piece), kind))
-        tail = str(rng.choice([" ", " ", ". ", ", ", ")\n"]))
-        parts += [piece, tail]
-        at += len(piece) + len(tail)
-    return "".join(parts), spans
+            spans.append((len(text), len(text) + len(piece), kind))
+        text += piece + rng.choice([" ", " ", ". ", ", ", ")\n"])
+    return text, spans
 
 
-def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+def labelled_windows(rng: Random, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes and tags of ``n`` windows cut anywhere out of examples."""
     ids, tags = np.full((n, WINDOW), PAD), np.zeros((n, WINDOW), dtype=np.int64)
     for i in range(n):
@@ -208,9 +208,9 @@ def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.n
         own = np.zeros(len(text), dtype=np.int64)
         for a, b, k in spans:
             own[a], own[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
-        a = int(rng.integers(0, max(1, len(text) - WINDOW // 2)))
+        a = rng.randrange(max(1, len(text) - WINDOW // 2))
         cut = own[a : a + WINDOW].copy()
-        if len(cut) and cut[0] and cut[0] % 2 == 0:  # a span that began before the window
+        if cut[0] and cut[0] % 2 == 0:  # a span that began before the window
             cut[0] -= 1
         ids[i, : len(cut)], tags[i, : len(cut)] = classes(text)[a : a + WINDOW], cut
     return ids, tags
@@ -219,8 +219,8 @@ def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.n
 @lru_cache(maxsize=2)
 def trained(hidden: int = 16, steps: int = 220, batch: int = 96, seed: int = 7) -> Tagger:
     """A tagger trained with Adam on generated labelled spans; the same for the same parameters."""
-    rng = np.random.default_rng(seed)
-    model = Tagger(hidden, rng)
+    rng = Random(seed)
+    model = Tagger(hidden, np.random.default_rng(seed))
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
     for t in range(1, steps + 1):
         _, g = model.gradient(*labelled_windows(rng, batch))
