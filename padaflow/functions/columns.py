@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import typing
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from padaflow.functions import script
 
@@ -55,7 +57,7 @@ def drop_schwa(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^(.+[^{script.VOWELS}])a$", "$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _latin(s: pd.Series) -> pd.Series:
     return s.map(script.to_latin, na_action="ignore")
 
@@ -77,12 +79,15 @@ def loosen(c: Column | str) -> Column:
     return fold(c, True, True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_str(s: pd.Series) -> pd.Series:
     return s.map(script.normalize_str, na_action="ignore")
 
 
-@F.pandas_udf("struct<text:string,starts:array<int>,ends:array<int>>")
+_ints = T.ArrayType(T.IntegerType())
+
+
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("starts", _ints).add("ends", _ints))
 def normalize(s: pd.Series) -> pd.DataFrame:
     rows = [script.normalize(x or "") for x in s]
     return pd.DataFrame({"text": [r.text for r in rows], "starts": [r.starts for r in rows], "ends": [r.ends for r in rows]})
@@ -97,7 +102,7 @@ def transliterate(c: Column | str, to: str = "iast") -> Column:
     if to not in ("iast", "devanagari", "deva"):
         raise ValueError(f"unknown script: {to!r}")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def convert(s: pd.Series) -> pd.Series:
         return s.map(lambda x: script.transliterate(x, to), na_action="ignore")
 
@@ -110,7 +115,10 @@ def words(c: Column | str) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(x, F.lit("'"))), lambda x: x != "")
 
 
-@F.pandas_udf("array<struct<text:string,start:int,end:int,index:int,segment:int,joinable:boolean,is_devanagari:boolean>>")
+_token = T.StructType([T.StructField(k, {str: T.StringType(), int: T.IntegerType(), bool: T.BooleanType()}[v]) for k, v in typing.get_type_hints(script.Token).items()])
+
+
+@F.pandas_udf(T.ArrayType(_token))
 def tokens(s: pd.Series) -> pd.Series:
     """Tokens of normalised text with offsets, segments and joinability."""
     return s.map(lambda x: [t._asdict() for t in script.tokenize(x or "")])
@@ -148,4 +156,4 @@ def slug(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """Parts between bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_col(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")

@@ -44,8 +44,8 @@ def overlap(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """tp, fp and fn by label; each gold span, in order, takes the first free prediction that overlaps it with its label."""
     pack = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias(name))
     docs = pack(gold, "g").join(pack(predicted, "p"), "doc_id", "full")
-    empty = F.array().cast("array<struct<start:int,end:int,label:string>>")
-    docs = docs.select("doc_id", F.coalesce("g", empty.cast(docs.schema["g"].dataType)).alias("g"), F.coalesce("p", empty.cast(docs.schema["p"].dataType)).alias("p"))
+    kind = "array<struct<start:int,end:int,label:string>>"
+    docs = docs.select("doc_id", *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in "gp"))
     fits = lambda p, g: (p["label"] == g["label"]) & (p["start"] < g["end"]) & (g["start"] < p["end"])
     zero = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<label:string,hit:boolean>>").alias("out"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from padaflow.functions import script
 
@@ -15,7 +16,10 @@ def json_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.to_json(F.struct("text", "entities", "lexicon_version")).alias("value"))
 
 
-@F.pandas_udf("array<struct<token:string,start:int,end:int>>")
+_span = T.StructType().add("token", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
+
+
+@F.pandas_udf(T.ArrayType(_span))
 def _tokens(s):  # noqa: ANN001, ANN202
     def one(text: str) -> list[dict]:
         normal = script.normalize(text or "")

@@ -85,28 +85,28 @@ def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(s: pd.Series) -> pd.Series:
     return s.map(script.normalize_str, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_iast(s: pd.Series) -> pd.Series:
     return s.map(script.deva_to_iast, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_deva(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if script.is_devanagari(x) else script.iast_to_deva(x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def full_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: script.strict_key(x, False), na_action="ignore")
 
 
 def _list(c: str) -> Column:
-    return F.filter(F.transform(F.split(F.col(c), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.col(c), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _need(ok: Column, message: str, value: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,13 +35,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", F.when(F.lower("file").endswith(".pdf"), _pdf("content")).otherwise(_lenient("content")).alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lenient(s):  # noqa: ANN001, ANN202
     return s.map(lambda b: bytes(b).decode("utf-8", "replace"))
 
 
 def _pdf(column: str):  # noqa: ANN202
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def pages(s):  # noqa: ANN001, ANN202
         import io
 
