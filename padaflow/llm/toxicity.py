@@ -19,7 +19,7 @@ from padaflow.llm.common import Scratch, arrow_map, side_join, small_batches
 BITS = 18
 SIZES = (4, 5, 6)
 #: The most training documents of each class that the regression is fitted on.
-SAMPLE = 2000
+SAMPLE = 1500
 #: A feature counts if its two document shares differ by so many standard errors.
 SIGNIFICANCE = 4.5
 THRESHOLD = 0.3
@@ -56,8 +56,8 @@ def _features(keep: np.ndarray, bits: int, sizes: tuple[int, ...]):
             out = []
             for text in batch.column("text").to_pylist():
                 ids = ngram_ids(text or "", bits, sizes)
-                out.append(np.unique(ids[keep[ids]]))
-            return pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "ids"])
+                out.append(np.unique(ids[keep[ids]]).astype("<u4").tobytes())
+            return pa.record_batch([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "ids"])
 
         return step
 
@@ -66,10 +66,12 @@ def _features(keep: np.ndarray, bits: int, sizes: tuple[int, ...]):
 
 def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights and intercept of a regularised logistic regression on presence * scale."""
-    ids = np.concatenate(rows).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-    used, col = np.unique(ids, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = scale[ids]
+    ids = np.concatenate(rows) if len(rows) else np.empty(0, np.uint32)
+    used = np.flatnonzero(np.bincount(ids, minlength=len(scale)))
+    col = np.searchsorted(used, ids).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    value = scale[ids].astype(np.float32)
+    del ids
     norm = np.bincount(row, value * value, minlength=len(rows)).max(initial=1.0)
     n, w, b = max(1, len(rows)), np.zeros(len(used)), 0.0
     step = 1.0 / (0.25 * (norm + 1) + l2 / n)
@@ -116,11 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, bits: int = BITS
     ranked = F.xxhash64("doc_id")
     chosen = [labels.where(F.col("toxic") == c).orderBy(ranked, "doc_id").limit(sample) for c in (0, 1)]  # the fitting sample
     chosen = scratch.table(chosen[0].union(chosen[1]), "sample")
-    rows = arrow_map(side_join(docs, chosen, "doc_id"), _features(ratio != 0, bits, sizes), "doc_id bigint, toxic int, ids array<int>").orderBy("doc_id").collect()
-    y = np.array([r["toxic"] for r in rows], dtype=float)
+    rows = arrow_map(side_join(docs, chosen, "doc_id"), _features(ratio != 0, bits, sizes), "doc_id bigint, toxic int, ids binary").toPandas().sort_values("doc_id")
+    y = rows["toxic"].to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
         return np.zeros(1 << bits), prior
-    w, b = fit_logistic([np.array(r["ids"], dtype=np.int64) for r in rows], y, ratio)
+    w, b = fit_logistic([np.frombuffer(x, dtype="<u4") for x in rows["ids"]], y, ratio)
     return w, b + prior - float(np.log(y.sum() / (len(y) - y.sum())))
 
 
