@@ -64,7 +64,7 @@ def _features(keep: np.ndarray, bits: int, sizes: tuple[int, ...]):
     return make
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = 0.1, steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights and intercept of a regularised logistic regression on presence * scale."""
     ids = np.concatenate(rows) if len(rows) else np.empty(0, np.uint32)
     used = np.flatnonzero(np.bincount(ids, minlength=len(scale)))
