@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
-    """``edges(a, b)`` → ``(node, root)``, root being the least node reachable; one row per node with an edge.
+    """``edges(a, b)`` → ``(node, root)``, root being the least node reachable; a row for every node but the roots.
 
     Nodes are bigint.  Every round works by grouped minima and joins, so a node with very many
     edges is never gathered in one row, and each round is a written table.  Only a row count and
