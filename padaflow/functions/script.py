@@ -83,21 +83,32 @@ class Normal(NamedTuple):
         return at, at
 
 
-_special = re.compile(f"[^\\x00-\\u00ac\\u00ae-\\u02ff]|[{DROPPED}]")
+@lru_cache
+def _clusters() -> re.Pattern:
+    """Characters with combining ones after them, and single ones that normalisation changes."""
+    every = [chr(c) for r in (range(0x3100), range(0xA000, 0xAC00), range(0xF900, 0xFFFF), range(0x10000, 0x1F000), range(0x2F800, 0x2FA20)) for c in r]
+    mark = "".join(c for c in every if unicodedata.combining(c))
+    single = "".join(c for c in every if c in DROPPED or c in REPLACED or unicodedata.normalize("NFC", c) != c)
+    return re.compile(f"(?s:.)[{re.escape(mark)}]+|[{re.escape(single)}]")
 
 
 def normalize(text: str) -> Normal:
     """NFC by cluster (a character and the combining ones after it), then the replacements."""
-    if not _special.search(text):  # Latin-1 and precomposed Latin: nothing to change
-        return Normal(text, list(range(len(text))), list(range(1, len(text) + 1)), len(text))
-    out, starts, ends = [], [], []
-    heads = [i for i, c in enumerate(text) if i == 0 or not unicodedata.combining(c)] + [len(text)]
-    for a, b in zip(heads, heads[1:], strict=False):
-        for c in unicodedata.normalize("NFC", text[a:b]):
+    out, starts, ends, done = [], [], [], 0
+    for m in _clusters().finditer(text) if not text.isascii() else ():
+        a, b = m.span()
+        out.append(text[done:a])
+        starts += range(done, a)
+        ends += range(done + 1, a + 1)
+        for c in unicodedata.normalize("NFC", m[0]):
             if c not in DROPPED:
                 out.append(REPLACED.get(c, c))
                 starts.append(a)
                 ends.append(b)
+        done = b
+    out.append(text[done:])
+    starts += range(done, len(text))
+    ends += range(done + 1, len(text) + 1)
     return Normal("".join(out), starts, ends, len(text))
 
 
@@ -218,6 +229,7 @@ def words(text: str) -> list[str]:
     return [t.text for t in tokenize(text)]
 
 
+@lru_cache(maxsize=200_000)
 def surface_norm(text: str) -> str:
     return " ".join(words(normalize_str(text).lower()))
 
