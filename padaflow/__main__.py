@@ -1,4 +1,4 @@
-"""Command line: extract, build-index, lookup."""
+"""Command line: extract, build-index, lookup, serve."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 from padaflow.operators import export
 from padaflow.plans.engine import Engine
+from padaflow.server import serve
+from padaflow.service import Service
 from padaflow.sources.text import read_lines
 
 
@@ -24,7 +26,10 @@ def main(argv: list[str] | None = None) -> int:
     build.add_argument("--collisions", action="store_true")
     look = sub.add_parser("lookup", help="find lexicon entries by name")
     look.add_argument("query")
-    for p in (ex, build, look):
+    web = sub.add_parser("serve", help="answer HTTP requests")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
+    for p in (ex, build, look, web):
         p.add_argument("-l", "--lexicons", nargs="*", default=None)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("padaflow").getOrCreate()
@@ -33,6 +38,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{len(engine.local.lexicon.entries)} entries, version {engine.version}")
         for key, ids in engine.local.lexicon.collisions() if args.collisions else []:
             print(f"{key}: {', '.join(ids)}")
+    elif args.command == "serve":
+        serve(Service.from_env(engine), args.host, args.port).serve_forever()
     elif args.command == "lookup":
         for e in engine.lookup(args.query):
             print(e.id, e.label, e.canonical, sep="\t")

@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice, product
 from typing import Any
 
 import pyarrow as pa
@@ -106,8 +107,6 @@ class Local:
 
 
 def _paths(choices: list[list[tuple[str, int]]], most: int) -> Iterator[tuple[str, ...]]:
-    from itertools import islice, product
-
     return islice(product(*([k for k, _ in c] for c in choices)), most)
 
 
@@ -157,6 +156,17 @@ class Engine:
     def lookup(self, query: str) -> list[Entry]:
         return self.local.lookup(query)
 
+    def pipe(self, texts: Iterable[str], batch_size: int = 64, n_process: int = 1) -> Iterator[list[dict[str, Any]]]:
+        """Entities of many texts, lazily and in order; with ``n_process`` > 1 by Spark jobs of that many batches."""
+        if n_process <= 1:
+            yield from map(self.local, texts)
+            return
+        own = iter(texts)
+        while chunk := [(i, t) for i, t in enumerate(islice(own, batch_size * n_process))]:
+            docs = self.spark.createDataFrame(chunk, "i int, text string").repartition(n_process, "i")
+            for row in self.annotate(docs).orderBy("i").select("entities").toLocalIterator():
+                yield [e.asDict(recursive=True) for e in row.entities]
+
     def annotate(self, docs: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
         """``docs`` with the column ``out`` (array of entities) and ``lexicon_version``; works on streams too.
 
