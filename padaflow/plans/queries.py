@@ -66,7 +66,7 @@ def schwa_sql(c: str) -> str:
     return f"regexp_replace({c}, '^(.+[^aeiou])a$', '\\1')"
 
 
-TOKENS = f"tok AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS('text')} AS w FROM documents))"
+TOKENS = f"tok AS (SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos FROM (SELECT doc_id, {WORDS('text')} AS w FROM documents))"
 DISTINCT = "dis AS (SELECT DISTINCT token FROM tok)"
 KEYS = f"keys AS MATERIALIZED (SELECT token, {fold_sql('token')} AS key FROM dis)"
 KEYED = f"{TOKENS}, {DISTINCT}, {KEYS}, kt AS MATERIALIZED (SELECT doc_id, pos, token, key FROM tok JOIN keys USING (token))"
