@@ -122,11 +122,12 @@ class Engine:
     def from_lexicon(cls, spark: SparkSession, entries: DataFrame, english: bool = True, rules: str | None = None, **filters: Any) -> Engine:
         """From a DataFrame of entries (as of ``sources.lexicon.entries``); extra keywords as for ``load``."""
         entries = entries.select([f.name for f in source.ENTRY] + [c for c in ("file_ord", "row_ord") if c in entries.columns])
-        if entries.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
-            raise ValueError("the lexicon is too large to broadcast")
         order = [c for c in ("file_ord", "row_ord") if c in entries.columns] or ["id"]
-        rows = [Entry(**{f.name: tuple(r[f.name] or ()) if f.name in source.LISTS else r[f.name] or "" for f in source.ENTRY}) for r in entries.orderBy(order).collect()]
-        forms = [tuple(r) for r in source.surface_forms(entries, english).orderBy("id", "form_ord").select("id", "text", "weak", "english").collect()]
+        found = entries.orderBy(order).limit(MOST_ENTRIES + 1).collect()
+        if len(found) > MOST_ENTRIES:
+            raise ValueError("the lexicon is too large to broadcast")
+        rows = [Entry(**{f.name: tuple(r[f.name] or ()) if f.name in source.LISTS else r[f.name] or "" for f in source.ENTRY}) for r in found]
+        forms = [tuple(r) for r in source.surface_forms(spark.createDataFrame(found, entries.schema), english).orderBy("id", "form_ord").select("id", "text", "weak", "english").collect()]
         place = {e.id: i for i, e in enumerate(rows)}
         forms.sort(key=lambda f: place[f[0]])  # stable: forms stay in order
         version = fingerprint([repr(rows).encode(), (rules or default_rules()).encode()], english)[:12]
