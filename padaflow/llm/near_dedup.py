@@ -7,7 +7,7 @@
 3. In each bucket the member with the most bucket mates is the hub, and every other member is one
    candidate edge to it: a bucket of n members makes n - 1 edges.
 4. Edges are confirmed on full sets.  Members that differ from their hub in similar ways may be
-   linked past it, so the shingles that a member adds to its hub, and those it lacks, are sketched too; equal slots under
+   linked past it, so the shingles that a member adds to its hub are sketched too; equal slots under
    one hub make the next layer of stars, confirmed likewise.  Layers, like bands, set the recall.
 5. Connected components of the confirmed edges.
 """
@@ -24,8 +24,8 @@ from padaflow.llm.components import components
 from padaflow.llm.kernels import U, fold, mix, shingle_sets, signed
 
 BANDS, ROWS = 24, 4
-#: Slots of the sketches of a member's differences from its hub, and layers of stars.
-SECOND, LAYERS = 16, 3
+#: Slots of the sketch of what a member adds to its hub, and layers of stars.
+SECOND, LAYERS = 24, 4
 
 
 class OnePermutation:
@@ -98,32 +98,30 @@ def _sets(width: int):
 
 
 def _confirm(percent: int, second: int):
-    """Compare the sets of x and y; sketch what x adds to y, and what it lacks."""
+    """Compare the sets of x and y; sketch what x adds to y."""
 
     def make():
         oph = OnePermutation(second)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             linked: list[bool] = []
-            parts: list[np.ndarray] = []
-            at: list[tuple[int, int]] = []
+            plus: list[np.ndarray] = []
+            at: list[int] = []
             for i, (p, q) in enumerate(zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)):
                 x, y = np.frombuffer(p, dtype=U), np.frombuffer(q, dtype=U)
                 common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                 n = int(common.sum())
                 linked.append(100 * n >= percent * (len(x) + len(y) - n))
-                for kind, rest in enumerate((x[~common], np.setdiff1d(y, x[common], assume_unique=True))):
-                    if len(rest):
-                        parts.append(rest)
-                        at.append((i, kind))
+                if n < len(x):
+                    plus.append(x[~common])
+                    at.append(i)
             keys: list[list[int]] = [[] for _ in linked]
-            if parts:
-                row, kind = np.array(at, dtype=np.int64).T
-                hub = (batch.column("y").to_numpy()[row] * 2 + kind).astype(np.int64).view(U)
-                slots = oph.slots(parts)
+            if plus:
+                hub = batch.column("y").to_numpy()[at].astype(np.int64).view(U)
+                slots = oph.slots(plus)
                 own = signed(np.stack([fold(np.stack([hub, slots[:, k]], axis=1), 1000 + k) for k in range(second)], axis=1))
-                for (i, _), k in zip(at, own.tolist(), strict=True):
-                    keys[i] += k
+                for i, k in zip(at, own.tolist(), strict=True):
+                    keys[i] = k
             return pa.record_batch([batch.column("x"), batch.column("y"), pa.array(linked, pa.bool_()), pa.array(keys, pa.list_(pa.int64()))], names=["x", "y", "linked", "keys"])
 
         return step
