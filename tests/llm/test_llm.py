@@ -21,7 +21,7 @@ from padaflow.llm.bpe import bpe, bpe_digests
 from padaflow.llm.common import Scratch, side_join
 from padaflow.llm.components import components
 from padaflow.llm.exact_dedup import Fingerprint, exact_dedup
-from padaflow.llm.line_dedup import line_dedup
+from padaflow.llm.line_dedup import distance, line_dedup
 from padaflow.llm.near_dedup import near_dedup
 from padaflow.llm.packing import pack
 from padaflow.llm.sharding import Conflict, ShardStore, shard
@@ -283,6 +283,22 @@ def test_lines_of_similar_words_go_once(spark):
     assert got[5].text is None and got[5].n_lines == 0 and got[6].text == "" and got[None].text == base[0]
 
 
+def test_distance_is_the_edit_distance():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 150)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 30)):
+            b[rng.randrange(len(b) + 1) : rng.randrange(len(b) + 1)] = rng.choice(["", "x", "ab"])
+        b = "".join(b)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert distance(a, b, 10**6) == row[-1] and (distance(a, b, 5) == row[-1] or row[-1] > 5 < distance(a, b, 5))
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup(frame(spark, []), scratch(spark)).count() == 0
     got = line_dedup(frame(spark, EDGES), scratch(spark)).collect()
