@@ -283,6 +283,34 @@ def test_lines_of_similar_words_go_once(spark):
     assert got[5].text is None and got[5].n_lines == 0 and got[6].text == "" and got[None].text == base[0]
 
 
+def edited(rng, words):
+    """The words with a fifth of them, or one, exchanged, added or taken away."""
+    out = list(words)
+    for _ in range(max(1, len(words) // 8)):
+        k = rng.randrange(len(out))
+        out[k : k + rng.randrange(2)] = ["".join(rng.choice("abcdeginorst") for _ in range(rng.randrange(2, 7)))] * rng.randrange(2)
+    return out
+
+
+def test_line_dedup_finds_what_brute_force_finds(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdeginorst") for _ in range(rng.randrange(2, 9)))
+    lines = []
+    for k in range(168):
+        base = [word() for _ in range(5 + k % 56)]
+        lines += [" ".join(base), " ".join(edited(rng, base)), " ".join(edited(rng, base))]
+    rng.shuffle(lines)
+    lines = [x for x in lines if len(x.split()) >= 5]
+    most = lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+    links = [(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a) - len(b)) <= most(a, b) and distance(a, b, most(a, b)) <= most(a, b)]
+    want = roots(range(len(lines)), links)
+    got = {r.doc_id for r in line_dedup(frame(spark, list(enumerate(lines))), scratch(spark)).collect() if r.n_dropped}
+    gone = {i for i in want if want[i] != i}
+    assert len(gone) > 200 and not got - gone and len(got) >= 0.97 * len(gone)
+    short = {i for i in gone if len(lines[i].split()) < 15}
+    assert len(short) > 20 and len(got & short) >= 0.95 * len(short)
+
+
 def test_distance_is_the_edit_distance():
     rng = random.Random(6)
     for _ in range(300):
