@@ -311,6 +311,13 @@ def test_line_dedup_finds_what_brute_force_finds(spark):
     assert len(short) > 20 and len(got & short) >= 0.95 * len(short)
 
 
+def test_lines_of_few_long_words_take_part(spark):
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    rows = [(1, chinese + "\nquestionable authorship"), (2, chinese.replace("寒", "热") + "\nkept"), (3, "Questionable authorship!\nkept\n" + chinese)]
+    got = {r.doc_id: r for r in line_dedup(frame(spark, rows), scratch(spark)).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "kept", "kept"]
+
+
 def test_distance_is_the_edit_distance():
     rng = random.Random(6)
     for _ in range(300):
