@@ -10,11 +10,13 @@ from random import Random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from padaflow.llm import line_dedup as line_dedup_module
 from padaflow.llm import pii as P
 from padaflow.llm import tagger
 from padaflow.llm.bpe import bpe, bpe_digests
@@ -318,6 +320,31 @@ def test_lines_of_few_long_words_take_part(spark):
     assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], "kept", "kept"]
 
 
+def test_similar_lines_meet_beside_a_hub_unlike_both(spark, monkeypatch):
+    rng = random.Random(31)
+    own = [" ".join(prose(rng, 30)) for _ in range(8)]
+    lines = [x for t in own for x in (t, t.replace(t.split()[4], "other"))]
+    source = line_dedup_module._lines
+
+    def with_one_bucket(*a):
+        make = source(*a)
+
+        def run():
+            step = make()
+
+            def all_in_one(batch):
+                for b in step(batch):
+                    yield b.set_column(b.num_columns - 1, "keys", pa.array([[1]] * b.num_rows, pa.list_(pa.int64())))
+
+            return all_in_one
+
+        return run
+
+    monkeypatch.setattr(line_dedup_module, "_lines", with_one_bucket)
+    got = {r.doc_id for r in line_dedup(frame(spark, list(enumerate(lines))), scratch(spark)).collect() if r.n_dropped}
+    assert got == set(range(1, 16, 2))
+
+
 def test_distance_is_the_edit_distance():
     rng = random.Random(6)
     for _ in range(300):
