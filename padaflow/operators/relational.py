@@ -36,16 +36,17 @@ def phrase_keys(terms: DataFrame) -> DataFrame:
     return terms.withColumn("path", path).where("size(path) > 0").select("entry", "label", "path", F.size("path").alias("n"))
 
 
-def phrase_matches(docs: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
+def phrase_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """All runs of tokens whose keys spell a term: doc_id, start, n, entry, label.
 
     The first key finds the terms by an equi-join; the rest of the path is compared in place.  Runs don't regard
-    punctuation: this is the plain gazetteer join, without segments.
+    punctuation: this is the plain gazetteer join, without segments.  Terms may be of any length.
     """
+    paths = phrase_keys(terms).withColumn("key", F.col("path")[0])
+    longest = paths.agg(F.max("n")).first()[0] or 1
     tokens = docs.select("doc_id", F.transform(C.words("text"), lambda w: C.fold(w)).alias("keys"))
     starts = tokens.select("doc_id", F.posexplode("keys").alias("start", "key"), "keys")
     starts = starts.select("doc_id", "start", "key", F.slice("keys", F.col("start") + 1, F.lit(longest)).alias("ahead"))
-    paths = phrase_keys(terms).withColumn("key", F.col("path")[0])
     few = paths.limit(POSTINGS + 1).count() <= POSTINGS
     hit = starts.join(F.broadcast(paths) if few else paths, "key")
     return hit.where(F.slice("ahead", F.lit(1), F.col("n")) == F.col("path")).select("doc_id", "start", "n", "entry", "label")
