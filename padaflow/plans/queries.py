@@ -312,7 +312,7 @@ def mine_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mine_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate terms that the data-derived lexicon doesn't know, with contexts."""
     named = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), "text")
-    return mine.mine(engine(spark, sf_dir), named, least=20, longest=2)
+    return mine.mine(engine(spark, sf_dir), named, least=20, longest=3)
 
 
 _CODES = list(importer.DISCIPLINES)
