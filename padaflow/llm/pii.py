@@ -1,9 +1,11 @@
 """Personal data: patterns, and spans that a BiLSTM-CRF adds to them.
 
-The tagger reads overlapping windows on a fixed grid over the whole text.  Every kind holds a digit or
-an @, so a window without one can only decode to "outside" and is skipped.  Each position takes its
-tag from the window in whose middle half it lies, and runs of tags over window borders are one span.
-A span is added if it has the form of its kind and meets no pattern span.
+The tagger reads overlapping windows on a fixed grid over the whole text.  Each position takes its tag from
+the one window in whose middle half it lies (or the first window), and runs of tags over window borders are
+one span.  Decoding is constrained: only positions in a run of characters without white space that holds a
+digit or an @, and single blanks between two such runs, may be tagged; all others are outside.  A window
+that owns none of those positions can't tag anything, so it isn't run.  A span is added if it has the form
+of its kind and meets no pattern span.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from padaflow.llm.common import arrow_map, small_batches
+from padaflow.llm.common import arrow_map, grouped, small_batches
+from padaflow.llm.kernels import runs
 from padaflow.llm.tagger import KINDS, PAD, STRIDE, WINDOW, Tagger, classes, luhn, trained
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,7 +29,7 @@ _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_trigger = re.compile("[0-9@]")
+MARGIN = (WINDOW - STRIDE) // 2
 Span = tuple[int, int, int]
 
 
@@ -58,15 +61,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 _form = (
-    re.compile(r"[\w.%+-]+@[\w-]+(\.[\w-]+)+"),
+    re.compile(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+"),
     re.compile(r"\d{1,3}(\.\d{1,3}){3}"),
-    re.compile(r"\d{4}([ ./-]?\d{4}){3}"),
+    re.compile(r"\d([ ./-]?\d){12,18}"),
     re.compile(r"(\+|00)?\d{0,3}[ .-]?(\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}[ .-]?\d{3,6}"),
 )
 
 
 def has_form(text: str, kind: int) -> bool:
-    """Does a decoded span look like its kind?  Looser than the patterns, e.g. no + before a phone number."""
+    """Does a decoded span look like its kind?  Looser than the patterns: letters of any script in an address, dots in a card, no + before a phone number."""
     if not _form[kind].fullmatch(text):
         return False
     if kind == 1:
@@ -74,46 +77,67 @@ def has_form(text: str, kind: int) -> bool:
     return (kind != 2 or luhn(digits(text))) and (kind != 3 or 10 <= len(digits(text)) <= 15)
 
 
-def windows(text: str) -> list[int]:
-    """Starts of the grid windows of a text that hold a digit or an @."""
-    grid: set[int] = set()
-    for m in _trigger.finditer(text):
-        k = m.start() // STRIDE
-        grid.update((k, k - 1) if k else (0,))
-    return [k * STRIDE for k in sorted(grid)]
+class Joined:
+    """Texts as one array of code points with two line feeds after each, and the positions that may be tagged."""
+
+    def __init__(self, all_texts: list[str]):
+        text = "".join(t + "\n\n" for t in all_texts)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.ids = classes(code)
+        self.lengths = np.array([len(t) for t in all_texts], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths + 2) - self.lengths - 2
+        space = (code <= 32) | (code == 0x85) | (code == 0xA0) | (code == 0x3000)
+        first, last = runs(~space)
+        marks = np.flatnonzero((code == 64) | ((code >= 48) & (code <= 57)))
+        held = np.searchsorted(marks, last) > np.searchsorted(marks, first)
+        first, last = first[held], last[held]
+        edge = np.zeros(len(code) + 1, dtype=np.int8)
+        edge[first] = 1
+        edge[last] = -1
+        self.open = np.cumsum(edge[:-1]).astype(bool)
+        near = np.flatnonzero(first[1:] - last[:-1] == 1)
+        self.open[last[near]] = True
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The text and the start in it of each window that owns an open position."""
+        at = np.flatnonzero(self.open)
+        text = np.searchsorted(self.starts, at, side="right") - 1
+        owner = np.maximum(0, (at - self.starts[text] - MARGIN) // STRIDE)
+        wide = int(owner.max(initial=0)) + 1
+        both = np.unique(text * wide + owner)
+        return both // wide, both % wide * STRIDE
+
+
+def decoded_tags(model: Tagger, texts: Joined, block: int = 1024) -> np.ndarray:
+    """A tag for each code point of ``texts``."""
+    out = np.zeros(len(texts.ids), dtype=np.int8)
+    text, start = texts.windows()
+    step = np.arange(WINDOW)
+    for k in range(0, len(text), block):
+        t, a = text[k : k + block, None], start[k : k + block, None]
+        local = a + step
+        inside = local < texts.lengths[t]
+        at = np.where(inside, texts.starts[t] + local, 0)
+        tags = model.decode(np.where(inside, texts.ids[at], PAD), inside & texts.open[at])
+        own = inside & ((step >= MARGIN) | (a == 0)) & (step < WINDOW - MARGIN)
+        out[at[own]] = tags[own]
+    return out
 
 
 def decoded_spans(model: Tagger, all_texts: list[str]) -> list[list[Span]]:
-    """Spans of the tagger for each text, after reconciling the windows."""
-    where = [(i, a) for i, text in enumerate(all_texts) for a in windows(text)]
+    """Spans of the tagger for each text: runs of tags of one kind, parted where a span begins."""
+    texts = Joined(all_texts)
+    tags = decoded_tags(model, texts)
+    kind = (tags + 1) // 2
+    before = np.concatenate([np.zeros(1, np.int8), kind[:-1]])
+    begins = (kind > 0) & ((tags % 2 == 1) | (before != kind))
+    first = np.flatnonzero(begins)
+    ends = np.flatnonzero((kind == 0) | begins)
+    last = np.append(ends, len(kind))[np.searchsorted(ends, first, side="right")]
+    text = np.searchsorted(texts.starts, first, side="right") - 1
     out: list[list[Span]] = [[] for _ in all_texts]
-    open_kind: dict[int, tuple[int, Span]] = {}
-    margin = (WINDOW - STRIDE) // 2
-    for k in range(0, len(where), 1024):
-        part = where[k : k + 1024]
-        ids = np.full((len(part), WINDOW), PAD)
-        for r, (i, a) in enumerate(part):
-            own = classes(all_texts[i][a : a + WINDOW])
-            ids[r, : len(own)] = own
-        tags = model.decode(ids)
-        for r, (i, a) in enumerate(part):
-            low = 0 if a == 0 else margin
-            high = WINDOW if a + WINDOW >= len(all_texts[i]) else WINDOW - margin
-            row = tags[r]
-            if not row[low:high].any():
-                continue
-            for t in np.flatnonzero(row[low:high]) + low:
-                at, kind, begins = a + int(t), (int(row[t]) - 1) // 2, row[t] % 2 == 1
-                last = open_kind.get(i)
-                if last and last[1][2] == at and last[1][1] == kind and not begins:
-                    span = (last[1][0], kind, at + 1)
-                    out[i][-1] = span
-                elif at >= len(all_texts[i]):
-                    continue
-                else:
-                    span = (at, kind, at + 1)
-                    out[i].append(span)
-                open_kind[i] = (k, span)
+    for i, a, b, k in zip(text.tolist(), (first - texts.starts[text]).tolist(), (last - texts.starts[text]).tolist(), (kind[first] - 1).tolist(), strict=True):
+        out[i].append((a, k, b))
     return out
 
 
@@ -121,12 +145,13 @@ def all_spans(model: Tagger, all_texts: list[str]) -> tuple[list[list[Span]], li
     """Pattern spans of each text, and those with what the tagger adds."""
     base = [base_spans(t) for t in all_texts]
     full = []
-    for text, own, found in zip(all_texts, base, decoded_spans(model, all_texts), strict=True):
+    decoded = [spans for a, b in grouped([len(t) for t in all_texts]) for spans in decoded_spans(model, all_texts[a:b])]
+    for text, own, found in zip(all_texts, base, decoded, strict=True):
         extra = []
         for a, kind, b in found:
             while a < b and text[b - 1] in ".,;:!?) \n" and not (kind == 3 and text[b - 1] == ")"):
                 b -= 1
-            if has_form(text[a:b], kind) and not any(a < y and x < b for x, _, y in own) and not text[a - 1 : a].isalnum() and not text[b : b + 1].isalnum():
+            if has_form(text[a:b], kind) and not any(a < y and x < b for x, _, y in own) and not text[max(0, a - 1) : a].isalnum() and not text[b : b + 1].isalnum():
                 extra.append((a, kind, b))
         full.append(sorted(own + extra))
     return base, full

@@ -16,10 +16,14 @@ PAD = CLASSES - 1
 WINDOW, STRIDE = 64, 32
 
 
-def classes(text: str) -> np.ndarray:
+def classes(text: str | np.ndarray) -> np.ndarray:
     """The class of each code point."""
-    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    out = np.where((code >= 32) & (code < 127), code - 32, np.where(code < 32, 95, np.where(code < 0x2000, 96, 97)))
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) if isinstance(text, str) else text
+    out = np.full(len(code), 97, dtype=np.uint8)
+    out[code < 0x2000] = 96
+    plain = (code >= 32) & (code < 127)
+    out[plain] = code[plain] - 32
+    out[code < 32] = 95
     return out
 
 
@@ -123,9 +127,11 @@ class Tagger:
                 ds, dc = dz @ r.T, dc * f
         return float((total - gold).mean()), {k: v / n for k, v in g.items()}
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each row of classes (Viterbi)."""
+    def decode(self, ids: np.ndarray, taggable: np.ndarray | None = None) -> np.ndarray:
+        """The best tag sequence of each row of classes (Viterbi); where not ``taggable``, only outside is allowed."""
         e = self.emissions(ids)
+        if taggable is not None:
+            e[~taggable.T, 1:] = -1e4
         step = (self.p["t"] + self.mask)[:-1]
         best = e[0] + (self.p["t"] + self.mask)[-1]
         back = np.empty(e.shape, dtype=np.int8)

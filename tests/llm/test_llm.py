@@ -273,6 +273,62 @@ def test_pii_adds_spans_and_keeps_the_base(spark):
     assert "@" not in masked[40] and "<email>" in masked[40] and masked[0] is None and masked[3] == "Same text here."
 
 
+def naive_decoded(model, text):
+    """Every window of the grid, one at a time, and the owner of each position by definition."""
+    held = [False] * len(text)
+    for m in re.finditer(r"[^\s]+", text):
+        if re.search("[0-9@]", m[0]):
+            held[m.start() : m.end()] = [True] * len(m[0])
+    for i in range(1, len(text) - 1):
+        if text[i].isspace() and not text[i - 1].isspace() and not text[i + 1].isspace() and held[i - 1] and held[i + 1]:
+            held[i] = True
+    tags = [0] * len(text)
+    for k in range(len(text) // tagger.STRIDE + 1):
+        a = k * tagger.STRIDE
+        own = tagger.classes(text[a : a + tagger.WINDOW])
+        ids = np.full((1, tagger.WINDOW), tagger.PAD)
+        ids[0, : len(own)] = own
+        may = np.zeros((1, tagger.WINDOW), dtype=bool)
+        may[0, : len(own)] = held[a : a + tagger.WINDOW]
+        row = model.decode(ids, may)[0]
+        for t in range(0 if a == 0 else P.MARGIN, min(len(own), tagger.WINDOW - P.MARGIN)):
+            tags[a + t] = int(row[t])
+    out = []
+    for i, t in enumerate(tags):
+        kind = (t + 1) // 2 - 1
+        if t and out and out[-1][2] == i and out[-1][1] == kind and t % 2 == 0:
+            out[-1] = (out[-1][0], kind, i + 1)
+        elif t:
+            out.append((i, kind, i + 1))
+    return out
+
+
+def test_decoding_equals_every_window_at_every_cut():
+    model, rng = tagger.trained(), Random(12)
+    made = [" ".join(tagger.example(rng)[0] for _ in range(1 + i % 4)) for i in range(12)]
+    texts = [made[i][: len(made[i]) - cut] for i in range(12) for cut in range(0, len(made[i]), 7)]
+    texts += [made[0][:n] for n in range(len(made[0]) + 1)] + ["1", "@", "", " ", "x@y.z" + "long" * 60 + ".org 12", "+1 (308) 555-5864" * 9]
+    got = P.decoded_spans(model, texts)
+    for text, own in zip(texts, got, strict=True):
+        assert own == naive_decoded(model, text), text
+        assert all(0 <= a < b <= len(text) for a, _, b in own)
+    base, full = P.all_spans(model, texts)
+    assert all(set(a) <= set(b) for a, b in zip(base, full, strict=True))
+
+
+def test_what_the_tagger_adds_is_mostly_right():
+    model, rng = tagger.trained(), Random(77)
+    hits = wrong = missing = 0
+    for text, spans in (tagger.example(rng) for _ in range(1500)):
+        base, full = P.all_spans(model, [text])
+        added = set(full[0]) - set(base[0])
+        want = {(a, k, b) for a, b, k in spans} - set(base[0])
+        want = {w for w in want if not any(w[0] < y and x < w[2] for x, _, y in base[0])}
+        hits, wrong, missing = hits + len(added & want), wrong + len(added - want), missing + len(want - added)
+    print(f"added and right {hits}, added and wrong {wrong}, not found {missing}")
+    assert hits > 0.8 * (hits + missing) and hits > 0.9 * (hits + wrong)
+
+
 # -------------------------------------------------------------- line dedup
 def test_lines_of_similar_words_go_once(spark):
     rng = random.Random(11)
