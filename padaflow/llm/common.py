@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The most rows a join sends to every executor; a larger side is shuffled instead.
-BROADCAST_ROWS = 1_000_000
+#: The most rows and bytes a join sends to every executor; a larger side is shuffled instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
 
 class Scratch:
@@ -53,12 +54,26 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def side_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a side of unknown size: broadcast it if it has at most ``rows`` rows, else shuffle.
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value in a hash table; null counts as little."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.ArrayType):
+        each = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return F.size(value) * each
+    return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, T.StructType) else 8)
 
-    ``small`` should be a written table, as its rows are counted first.
+
+def side_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a side of unknown size: broadcast it if it has at most ``rows`` rows and ``size`` bytes, else shuffle.
+
+    ``small`` should be a written table, as its rows and bytes are counted first.
     """
-    few = small.limit(rows + 1).count() <= rows
+    width = F.lit(32)
+    for f in small.schema.fields:
+        width = width + F.coalesce(_width(F.col(f"`{f.name}`"), f.dataType), F.lit(8))
+    n, total = small.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    few = n <= rows and (total or 0) <= size
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
