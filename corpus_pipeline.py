@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padaflow.llm.common import Scratch, documents, side_join
-from padaflow.llm.line_dedup import drops, without_lines
+from padaflow.llm.line_dedup import MIN_CHARS, drops, without_lines
 from padaflow.llm.near_dedup import near_dedup
 from padaflow.llm.pii import masked
 from padaflow.llm.queries import packed
@@ -38,11 +38,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats of similar lines go; a document that only held such lines goes with them."""
+    """Repeats of similar lines go; a document that only held such lines goes with them.
+
+    Texts that are shorter than a line of the fuzzy comparison stay whole.
+    """
     scratch = Scratch(spark, "lines")
-    out = without_lines(docs, drops(docs, scratch))
-    emptied = F.col("__drop").isNotNull() & (F.trim("text") == "")
-    return _sized(out.where(~F.coalesce(emptied, F.lit(False))).select(docs.columns))
+    out = without_lines(docs, drops(docs, scratch), scratch)
+    before = F.array_join("__lines", "\n")
+    short = F.length(before) < MIN_CHARS
+    emptied = F.coalesce((F.size("__gone") > 0) & (F.trim("text") == "") & ~short, F.lit(False))
+    return _sized(out.where(~emptied).withColumn("text", F.when(short, before).otherwise(F.col("text"))).select(docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
