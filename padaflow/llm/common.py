@@ -77,6 +77,21 @@ def side_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str =
     return big.join(F.broadcast(small) if few else small, on, how)
 
 
+#: A key is hot if it holds this share of all rows, so there are at most HOT hot keys.
+HOT = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with one row of ``small`` for each key; ``weight`` is the key's rows in ``big``, ``total`` their sum.
+
+    Keys with at least a thousandth of all rows, so a thousand keys at most, are broadcast; the rest is
+    shuffled, where no key is larger than that.  Keys aren't null.  Both sides should be written tables.
+    """
+    hot, cold = small.where(F.col(weight) * HOT >= total), small.where(F.col(weight) * HOT < total)
+    left = big.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return big.join(F.broadcast(hot), on).unionByName(left.join(cold, on))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
