@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,10 +111,22 @@ def grouped(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+@lru_cache
+def keep_memory() -> None:
+    """Let glibc keep freed memory of up to 256 MB: else every large temporary array of numpy is mapped and zeroed anew, which takes longer than the arithmetic on it."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that ``make`` builds once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         step = make()
         for batch in batches:
             if batch.num_rows:

@@ -30,10 +30,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
