@@ -26,7 +26,7 @@ from padaflow.llm.exact_dedup import Fingerprint, exact_dedup
 from padaflow.llm.line_dedup import distance, line_dedup
 from padaflow.llm.near_dedup import near_dedup
 from padaflow.llm.packing import pack
-from padaflow.llm.sharding import Conflict, ShardStore, shard
+from padaflow.llm.sharding import Conflict, ShardStore, merge_once, shard
 from padaflow.llm.topk import topk
 from padaflow.llm.toxicity import toxicity
 from padaflow.llm.url_filter import url_filter
@@ -593,6 +593,32 @@ def test_compaction_keeps_rows_and_versions(spark):
     with pytest.raises(Conflict):
         store.commit(store.manifest(), 3)
     assert store.compact(scratch(spark)) == 8  # nothing left to merge
+    assert sorted(r.doc_id for r in store.read(7).collect()) == before and store.read(4).count() == 40  # older versions stay whole
+    gone = store.expire(keep=1)
+    assert len(gone) == 6 and sorted(r.doc_id for r in store.read().collect()) == before  # the runs of shards 0 to 5
+
+
+def test_of_two_writers_one_commits(spark, monkeypatch):
+    store = ShardStore(spark, scratch(spark).path("store"))
+    rows = spark.createDataFrame([(1, "t", 0)], "doc_id bigint, text string, shard bigint")
+    assert store.append(rows, F.lit(1)) == 1
+    late = ShardStore(spark, store.root)
+    monkeypatch.setattr(late, "version", lambda: 1)  # it looked before the first one committed
+    assert store.append(rows.withColumn("shard", F.lit(1).cast("bigint")), F.lit(1)) == 2
+    with pytest.raises(Conflict):
+        late.append(rows.withColumn("shard", F.lit(2).cast("bigint")), F.lit(1))
+    assert store.version() == 2 and sorted(r.shard for r in store.manifest().collect()) == [0, 1]
+
+
+def test_last_tier_fills_the_target(spark):
+    sizes = [(k, 35 + 5 * (k % 3)) for k in range(12)]
+    shards = spark.createDataFrame(sizes, "shard bigint, size bigint")
+    into = dict(merge_once(shards, base=2, fanout=4, target=100).collect())
+    total = Counter()
+    for k, v in sizes:
+        total[into.get(k, k)] += v
+    merged = [total[k] for k in set(into.values())]
+    assert len(merged) >= 3 and all(100 <= v < 200 for v in merged) and not merge_once(shards.limit(0), 2, 4, 100).count()
 
 
 def test_shard_edges(spark):
