@@ -4,7 +4,7 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    own = SparkSession.builder.master("local[2]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    own = SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     own = own.config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared"))).config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     own.sparkContext.setLogLevel("ERROR")
     yield own
