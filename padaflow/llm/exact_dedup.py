@@ -2,8 +2,9 @@
 
 A text is a sequence of byte chunks.  A chunk of length n has the hash sum(b_i * B**(n-1-i)) mod p;
 the hash of a concatenation is H(xy) = H(x) * B**len(y) + H(y), so chunks can be hashed anywhere
-and joined later.  Two primes near 2**31 and the length make the fingerprint.  Equal fingerprints
-are then compared chunk by chunk.
+and joined later.  Two primes near 2**31 and the length make the fingerprint.  Texts beyond ``LONG``
+bytes are cut into pieces that are hashed as rows of their own, in any tasks, and combined by number.
+Equal fingerprints are then compared chunk by chunk.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from padaflow.llm.common import Scratch, arrow_map, side_join, small_batches, texts
+from padaflow.llm.common import Scratch, arrow_map, hot_join, side_join, small_batches, texts
 
 #: Two primes below 2**31, each with the base of its polynomial.
 MODULI = ((2147483647, 1103515245), (2147483629, 1566083941))
 CHUNK = 1 << 16
+#: Longer texts (in bytes) are hashed in pieces of PIECE characters.
+LONG, PIECE = 1 << 22, 1 << 20
+#: What is carried of a row, and the part of it that is a join key (never null).
+CARRY, ROW = ["doc_id", "__id", "__th"], ["__id", "__th"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -62,8 +67,8 @@ def _fingerprints(chunk: int):
             low = [x.lower() for x in texts(batch)]  # bytes.lower() touches A-Z only
             marks = np.array([fp.of_text(x) for x in low], dtype=np.int64).reshape(-1, 3)
             return pa.record_batch(
-                [batch.column("doc_id"), pa.array(marks[:, 0] << 31 | marks[:, 1]), pa.array(marks[:, 2]), pa.array([hashlib.sha256(x).hexdigest() for x in low], pa.string())],
-                names=["doc_id", "fp", "size", "text_sha256"],
+                [*(batch.column(c) for c in CARRY), pa.array(marks[:, 0] << 31 | marks[:, 1]), pa.array(marks[:, 2]), pa.array([hashlib.sha256(x).hexdigest() for x in low], pa.string())],
+                names=[*CARRY, "fp", "size", "text_sha256"],
             )
 
         return step
@@ -71,7 +76,47 @@ def _fingerprints(chunk: int):
     return make
 
 
-def exact_dedup(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+def _pieces(chunk: int):
+    """Of each piece the two hashes, its length, and what it shifts the hashes before it by."""
+
+    def make():
+        fp = Fingerprint(chunk)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            marks = [fp.of_text(x) for x in texts(batch, "piece")]
+            shift = [[pow(base, m[2], p) for m in marks] for p, base in MODULI]
+            columns = [pa.array([m[k] for m in marks], pa.int64()) for k in range(3)] + [pa.array(x, pa.int64()) for x in shift]
+            return pa.record_batch([batch.column("uid"), batch.column("n"), *columns], names=["uid", "n", "x", "y", "size", "by_x", "by_y"])
+
+        return step
+
+    return make
+
+
+def pieces(text: Column, size: int) -> Column:
+    """Numbered pieces of ``size`` characters; an empty text has one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")))
+    return F.posexplode(F.transform(starts, lambda i: F.substring(text, i * size + 1, F.lit(size)))).alias("n", "piece")
+
+
+def _low() -> Column:
+    return F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+
+
+def _long_marks(docs: DataFrame, scratch: Scratch, chunk: int, piece: int) -> DataFrame:
+    """Row key, fp, size and text_sha256 of texts that are hashed in pieces."""
+    own = scratch.table(docs.select(*CARRY, F.monotonically_increasing_id().alias("uid"), _low().alias("low")), "long")
+    parts = arrow_map(own.select("uid", pieces(F.col("low"), piece)), _pieces(chunk), "uid bigint, n int, x bigint, y bigint, size bigint, by_x bigint, by_y bigint")
+    joined = parts.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "x", "y", "size", "by_x", "by_y"))).alias("p"))  # 48 bytes for each piece
+    (p, _), (q, _) = MODULI
+    none = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in ("x", "y", "size")))
+    step = lambda a, b: F.struct(((a["x"] * b["by_x"] + b["x"]) % p).alias("x"), ((a["y"] * b["by_y"] + b["y"]) % q).alias("y"), (a["size"] + b["size"]).alias("size"))
+    joined = joined.select("uid", F.aggregate("p", none, step).alias("m"))
+    whole = own.select(*CARRY, "uid", F.sha2("low", 256).alias("text_sha256")).join(joined, "uid")
+    return whole.select(*CARRY, F.shiftleft("m.x", 31).bitwiseOR(F.col("m.y")).alias("fp"), F.col("m.size").alias("size"), "text_sha256")
+
+
+def exact_dedup(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, long: int = LONG, piece: int = PIECE) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z.  Null text counts as empty; empty texts
@@ -79,24 +124,28 @@ def exact_dedup(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFr
     of one doc_id count separately and share its decision.  Other columns are ignored.
 
     Fingerprints are grouped with map-side combining.  Texts of groups with more than one row are
-    cut into chunks, and a chunk number's chunks of one group must have one digest and one least and
-    greatest value; groups that fail are split by the digest of the whole text.  No text pairs are built.
+    cut into chunks, and a chunk number's chunks of one group must have one least and greatest value;
+    groups that fail are split by the digest of the whole text.  No text pairs are built.  Rows are told
+    apart by doc_id and a hash of the text, so those of a null doc_id are compared like all others.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marks = scratch.table(arrow_map(docs, _fingerprints(chunk), "doc_id bigint, fp bigint, size bigint, text_sha256 string"), "marks")
-    groups = marks.groupBy("fp", "size").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    doc_id = F.col("doc_id").cast("bigint")
+    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("__id"), F.xxhash64(doc_id.isNull(), F.col("text")).alias("__th"), "text")
+    is_long = F.coalesce(F.octet_length("text") > long, F.lit(False))
+    kind = "doc_id bigint, __id bigint, __th bigint, fp bigint, size bigint, text_sha256 string"
+    marks = arrow_map(docs.where(~is_long), _fingerprints(chunk), kind)
+    marks = scratch.table(marks.unionByName(_long_marks(docs.where(is_long), scratch, chunk, piece)), "marks")
+    groups = marks.groupBy("fp", "size").agg(F.count("*").alias("group_size"))
     many = scratch.table(groups.where("group_size > 1").select("fp", "size"), "many")
-    members = scratch.table(side_join(marks, many, ["fp", "size"], "left_semi").select("doc_id", "fp", "size").distinct(), "members")
-    low = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
-    copies = side_join(docs, members, "doc_id").select("fp", "size", low.alias("text"))
-    copies = copies.where(F.octet_length("text") == F.col("size"))
-    pieces = copies.select("fp", "size", F.posexplode(F.expr(f"transform(sequence(0, greatest(0, int((length(text) - 1) div {chunk}))), i -> substring(text, i * {chunk} + 1, {chunk}))")).alias("n", "piece"))
+    members = scratch.table(side_join(marks, many, ["fp", "size"], "left_semi").select(*ROW, "fp", "size").distinct(), "members")
+    copies = side_join(docs.select(*ROW, "text"), members, ROW).select("fp", "size", _low().alias("low"))
+    parts = copies.select("fp", "size", pieces(F.col("low"), chunk))
     # Equal adjacent bounds mean one value: the comparison streams through partial aggregates.
-    uneven = pieces.groupBy("fp", "size", "n").agg(F.min("piece").alias("low"), F.max("piece").alias("high")).where("low != high").select("fp", "size").distinct()
+    uneven = parts.groupBy("fp", "size", "n").agg(F.min("piece").alias("least"), F.max("piece").alias("most")).where("least != most").select("fp", "size").distinct()
     uneven = scratch.table(uneven, "uneven").withColumn("clash", F.lit(True))
     split = side_join(marks, uneven, ["fp", "size"], "left").withColumn("part", F.when(F.col("clash"), F.col("text_sha256")).otherwise(F.lit("")))
-    final = split.groupBy("fp", "size", "part").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return split.join(final, ["fp", "size", "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-
-
+    key = ["fp", "size", "part"]
+    split = scratch.table(split, "split")
+    final = scratch.table(split.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "final")
+    out = hot_join(split.select(*key, "doc_id", "text_sha256"), final, key, "group_size", marks.count())
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

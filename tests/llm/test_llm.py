@@ -128,10 +128,10 @@ def test_fingerprints_compose():
     assert fp.of_text(b"\0") != fp.of_text(b"\0\0") and fp.of_text(b"") == (0, 0, 0)
 
 
-@pytest.mark.parametrize("chunk", [7, 1 << 16])
-def test_exact_dedup_equals_brute_force(spark, chunk):
-    rows = [*EDGES, (8, "x" * 5000), (9, None), (10, "àé é à"), (11, "y" * 5000)]
-    got = sorted(map(tuple, exact_dedup(frame(spark, rows), scratch(spark), chunk).collect()), key=str)
+@pytest.mark.parametrize(("chunk", "long", "piece"), [(7, 4000, 1000), (7, 0, 3), (1 << 16, 1 << 20, 1 << 20)])
+def test_exact_dedup_equals_brute_force(spark, chunk, long, piece):
+    rows = [*EDGES, (8, "x" * 5000), (9, None), (10, "àé é à"), (11, "y" * 5000), (None, "X" * 5000), (None, "x" * 5000), (0, "No ID")]
+    got = sorted(map(tuple, exact_dedup(frame(spark, rows), scratch(spark), chunk, long, piece).collect()), key=str)
     low = [(i, (t or "").encode().lower()) for i, t in rows]
     groups = defaultdict(list)
     for i, t in low:
@@ -144,9 +144,9 @@ def test_exact_dedup_equals_brute_force(spark, chunk):
 
 def test_equal_fingerprints_of_different_texts_are_split(spark, monkeypatch):
     monkeypatch.setattr("padaflow.llm.exact_dedup.MODULI", ((1, 1), (1, 1)))  # all hashes 0: only sizes differ
-    rows = [(1, "aa"), (2, "ab"), (3, "aa"), (4, "c")]
+    rows = [(1, "aa"), (2, "ab"), (3, "aa"), (4, "c"), (None, "ab"), (None, "ba"), (None, "Ba")]
     marks = exact_dedup(frame(spark, rows), scratch(spark))
-    assert {r.doc_id: (r.keep_id, r.group_size) for r in marks.collect()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in marks.collect()) == Counter([(1, 3, 2), (2, 2, 2), (3, 3, 2), (4, 4, 1), (None, 2, 2), (None, None, 2), (None, None, 2)])
 
 
 # ----------------------------------------------------------------- toxicity
