@@ -422,9 +422,9 @@ def test_similar_lines_meet_beside_a_hub_unlike_both(spark, monkeypatch):
 
 def test_distance_is_the_edit_distance():
     rng = random.Random(6)
-    for _ in range(300):
-        a = "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 150)))
-        b = list(a)
+    for n in range(300):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 350 if n % 3 else 60)))
+        b = list(a if n % 5 else "".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 300))))
         for _ in range(rng.randrange(0, 30)):
             b[rng.randrange(len(b) + 1) : rng.randrange(len(b) + 1)] = rng.choice(["", "x", "ab"])
         b = "".join(b)
@@ -433,7 +433,11 @@ def test_distance_is_the_edit_distance():
             last, row[0] = row[0], i
             for j, y in enumerate(b, 1):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        assert distance(a, b, 10**6) == row[-1] and (distance(a, b, 5) == row[-1] or row[-1] > 5 < distance(a, b, 5))
+        assert distance(a, b, 10**6) == row[-1] <= line_dedup_module.bound(a, b, 10**6)
+        for most in (5, 20, 60):
+            assert distance(a, b, most) == row[-1] or row[-1] > most < distance(a, b, most)
+            own = line_dedup_module.bound(a, b, most)
+            assert own > most or own >= row[-1]
 
 
 def test_line_dedup_edges(spark):
