@@ -110,9 +110,9 @@ def transliterate(c: Column | str, to: str = "iast") -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Token texts of normalised text, in order."""
-    found = F.regexp_extract_all(_col(c), F.lit(f"({script.TOKEN})"), 1)
-    return F.filter(F.transform(found, lambda x: F.trim(x, F.lit("'"))), lambda x: x != "")
+    """Token texts of normalised text, in order.  Apostrophes at the ends of a word don't belong to it."""
+    letter = script.LATIN.replace("'", "")
+    return F.regexp_extract_all(_col(c), F.lit(f"[{script.DEVANAGARI}]+|[{letter}](?:[{script.LATIN}]*[{letter}])?"), F.lit(0))
 
 
 _token = T.StructType([T.StructField(k, {str: T.StringType(), int: T.IntegerType(), bool: T.BooleanType()}[v]) for k, v in typing.get_type_hints(script.Token).items()])

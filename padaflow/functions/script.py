@@ -54,7 +54,10 @@ def strip_marks(text: str) -> str:
 
 def fold(latin: str, loose: bool = False, drop: bool = True) -> str:
     """The key of a Latin-script word."""
-    for kind, *args in _steps(loose, drop):
+    plain = latin.isascii() and latin.isalpha()
+    if plain:
+        latin = latin.lower()
+    for kind, *args in _plain_steps(loose, drop) if plain else _steps(loose, drop):
         latin = latin.lower() if kind == "lower" else strip_marks(latin) if kind == "marks" else latin.replace(*args) if kind == "text" else args[0].sub(args[1], latin)
     return latin
 
@@ -64,6 +67,12 @@ def _steps(loose: bool, drop: bool) -> list[tuple]:
     return [(k, re.compile(a[0]), a[1]) if k == "regex" else (k, *a) for k, *a in fold_steps(loose, drop)]
 
 
+@lru_cache
+def _plain_steps(loose: bool, drop: bool) -> list[tuple]:
+    """The steps that can change a word of a-z."""
+    return [x for x in _steps(loose, drop) if x[0] == "text" and x[1].islower() and x[1].isascii() or x[0] == "regex" and x[1].pattern != "[^a-zM]"]
+
+
 def drop_schwa(key: str) -> str:
     return key[:-1] if len(key) >= 3 and key[-1] == "a" and key[-2] not in VOWELS else key
 
@@ -229,6 +238,13 @@ def words(text: str) -> list[str]:
     return [t.text for t in tokenize(text)]
 
 
+def distinct_words(text: str) -> set[str]:
+    """The token texts of a text that isn't normalised yet."""
+    if not text.isascii() and _clusters().search(text):
+        text = normalize_str(text)
+    return {w for run in set(_token.findall(text)) if (w := run.strip("'"))}
+
+
 @lru_cache(maxsize=200_000)
 def surface_norm(text: str) -> str:
     return " ".join(words(normalize_str(text).lower()))

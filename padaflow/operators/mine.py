@@ -75,7 +75,8 @@ def mine(engine: Engine, docs: DataFrame, least: int = 3, longest: int = 3, lati
 def ngrams(docs: DataFrame, text: str = "text", longest: int = 3, shortest_word: int = 3) -> DataFrame:
     """doc_id, at, n, key of all runs of keys in plain Latin text, by built-in functions."""
     words = F.filter(C.words(text), lambda w: F.length(w) >= shortest_word)
-    keys = docs.select("doc_id", F.transform(words, lambda w: C.fold(w)).alias("keys"))
-    at = keys.select("doc_id", F.posexplode("keys").alias("at", "key"), "keys").drop("key")
-    runs = at.select("doc_id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("keys") - F.col("at")))).alias("n"), "keys")
-    return runs.select("doc_id", "at", "n", F.array_join(F.slice("keys", F.col("at") + 1, F.col("n")), " ").alias("key"))
+    keys = docs.select("doc_id", F.transform(words, lambda w: C.fold(w)).alias("keys")).where("size(keys) > 0")
+    run = lambda n: lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("keys", i + 1, F.lit(n)), " ").alias("key"))
+    starts = lambda n: F.when(F.size("keys") >= n, F.sequence(F.lit(0), F.size("keys") - n)).otherwise(F.array().cast("array<int>"))
+    every = F.concat(*(F.transform(starts(n), run(n)) for n in range(1, longest + 1)))  # runs are built before the explode, which so copies no document
+    return keys.select("doc_id", F.explode(every).alias("r")).select("doc_id", "r.*")

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 
 from padaflow.functions import columns as C
 
-POSTINGS = 1_000_000
+#: The most rows and bytes of a side that is sent to every executor; a larger one is shuffled.
+POSTINGS, POSTING_BYTES = 1_000_000, 48 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its rows and bytes are within the bounds.  It is counted, so it should be cheap or cached."""
+    width = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in df.schema.fields), F.lit(32))
+    n, size = df.limit(POSTINGS + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= POSTINGS and (size or 0) <= POSTING_BYTES else df
 
 
 def token_table(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -25,9 +33,19 @@ def full_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keyed(tokens: DataFrame) -> DataFrame:
-    """Tokens with their strict key, each distinct token folded once."""
-    keys = tokens.select("token").distinct().withColumn("key", C.fold(F.col("token")))
-    return tokens.join(keys, "token")
+    """Tokens with their strict key.  Folding in place costs less than a shuffle of all tokens by their text would."""
+    return tokens.withColumn("key", C.fold("token"))
+
+
+def spellings(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The distinct tokens that spell a key of ``lexicon(key, ...)``, with its columns: each distinct token is folded once."""
+    return tokens.select("token").distinct().withColumn("key", C.fold("token")).join(small(lexicon), "key")
+
+
+def term_hits(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tokens that spell a key of ``lexicon(key, ...)``.  Only their few spellings are joined with the tokens, which stay where they are."""
+    found = spellings(tokens, lexicon).cache()
+    return tokens.join(small(found), "token")
 
 
 def phrase_keys(terms: DataFrame) -> DataFrame:
@@ -42,13 +60,12 @@ def phrase_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
     The first key finds the terms by an equi-join; the rest of the path is compared in place.  Runs don't regard
     punctuation: this is the plain gazetteer join, without segments.  Terms may be of any length.
     """
-    paths = phrase_keys(terms).withColumn("key", F.col("path")[0])
+    paths = phrase_keys(terms).withColumn("key", F.col("path")[0]).cache()
     longest = paths.agg(F.max("n")).first()[0] or 1
-    tokens = docs.select("doc_id", F.transform(C.words("text"), lambda w: C.fold(w)).alias("keys"))
-    starts = tokens.select("doc_id", F.posexplode("keys").alias("start", "key"), "keys")
-    starts = starts.select("doc_id", "start", "key", F.slice("keys", F.col("start") + 1, F.lit(longest)).alias("ahead"))
-    few = paths.limit(POSTINGS + 1).count() <= POSTINGS
-    hit = starts.join(F.broadcast(paths) if few else paths, "key")
+    keys = docs.select("doc_id", F.transform(C.words("text"), lambda w: C.fold(w)).alias("keys"))
+    run = lambda k, i: F.struct(i.alias("start"), k.alias("key"), F.slice("keys", i + 1, F.lit(longest)).alias("ahead"))
+    starts = keys.select("doc_id", F.explode(F.transform("keys", run)).alias("r")).select("doc_id", "r.*")  # what lies ahead goes along, not the whole document
+    hit = starts.join(small(paths), "key")
     return hit.where(F.slice("ahead", F.lit(1), F.col("n")) == F.col("path")).select("doc_id", "start", "n", "entry", "label")
 
 
@@ -74,9 +91,14 @@ def surface_map(terms: DataFrame) -> DataFrame:
 
 
 def synonym_closure(keys: DataFrame) -> DataFrame:
-    """``keys(entry, key)`` → key, other: keys of one entry stand for each other."""
-    left = keys.select("entry", "key").distinct()
-    return left.join(left.withColumnRenamed("key", "other"), "entry").select("key", "other").distinct()
+    """``keys(entry, key)`` → key, others (sorted, itself included): keys of one entry stand for each other.
+
+    An entry's keys are gathered once and sent to each of them as one list, not as pairs.
+    """
+    own = keys.select("entry", "key").distinct()
+    lists = own.groupBy("entry").agg(F.collect_set("key").alias("all"))
+    merged = own.join(lists, "entry").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("all")))).alias("others"))
+    return merged
 
 
 def window_keys(tokens: DataFrame, spans: DataFrame, window: int) -> DataFrame:
@@ -111,11 +133,17 @@ def resolve(spans: DataFrame) -> DataFrame:
     return sorted_spans.select("doc_id", F.explode(fold).alias("s")).select("doc_id", "s.first", "s.last", "s.rank", "s.ord")
 
 
-def bio(tokens: DataFrame, entities: DataFrame) -> DataFrame:
-    """Tags of ``tokens(doc_id, pos, token, start, end)`` by ``entities(doc_id, ord, start, end, label)``; the first entity around a token counts."""
-    e = entities.select("doc_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "label", "ord")
+def bio(tokens: DataFrame, entities: DataFrame, width: int = 64) -> DataFrame:
+    """Tags of ``tokens(doc_id, pos, token, start, end)`` by ``entities(doc_id, ord, start, end, label)``; the first entity around a token counts.
+
+    Entities go to every bucket of ``width`` offsets that they reach and tokens to that of their start, so the
+    range join is an equi-join on (doc_id, bucket).
+    """
+    reach = F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width))
+    e = entities.select("doc_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "label", "ord", F.explode(reach).alias("bucket"))
     inside = (F.col("e_start") <= F.col("start")) & (F.col("end") <= F.col("e_end"))
-    hit = tokens.join(e, "doc_id").where(inside).groupBy("doc_id", "pos").agg(F.min(F.struct("ord", "e_start", "label")).alias("e"))
+    near = tokens.select("doc_id", "pos", "start", "end", F.floor(F.col("start") / width).alias("bucket")).join(e, ["doc_id", "bucket"])
+    hit = near.where(inside).groupBy("doc_id", "pos").agg(F.min(F.struct("ord", "e_start", "label")).alias("e"))
     tag = F.when(F.col("e").isNull(), "O").otherwise(F.concat(F.when(F.col("e.e_start") == F.col("start"), "B-").otherwise("I-"), "e.label"))
     return tokens.join(hit, ["doc_id", "pos"], "left").select("doc_id", "pos", "token", tag.alias("tag"))
 

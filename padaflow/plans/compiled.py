@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -91,6 +92,20 @@ class Lexicon:
     by_id: dict[str, int] = field(default_factory=dict)
     longest: int = 1
     phrases: dict[tuple[str, ...], int] = field(default_factory=dict)
+    #: Letters of the joined keys: a node maps a letter to a node, and "" marks the end of a key.
+    spelled: dict = field(default_factory=dict)
+    #: Words met so far, and whether a candidate can begin at them.
+    met: dict[str, bool] = field(default_factory=dict)
+
+    def ends(self, text: str, start: int) -> Iterator[int]:
+        """Where the joined keys that begin at ``start`` end."""
+        node = self.spelled
+        for i in range(start, len(text)):
+            node = node.get(text[i])
+            if node is None:
+                return
+            if "" in node:
+                yield i + 1
 
     def collisions(self) -> list[tuple[str, list[str]]]:
         """Keys whose strong hits have several labels, with the ids."""
@@ -142,4 +157,9 @@ def compile_lexicon(entries: list[Entry], forms: list[tuple[str, str, bool, bool
             for k in script.lexicon_keys(glued) | {script.strict_key(glued, False)}:
                 if len(k) >= 3:
                     keep(lex.joined[k], hit)
+    for k in lex.joined:
+        node = lex.spelled
+        for letter in k:
+            node = node.setdefault(letter, {})
+        node[""] = {}
     return lex

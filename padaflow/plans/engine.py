@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from padaflow.functions.script import alternatives, normalize, strict_key, tokenize, words
-from padaflow.operators.match import Context, Fuzzy, Span, recognize, resolve
+from padaflow.operators.match import Context, Fuzzy, Span, recognize, resolve, touches
 from padaflow.operators.rules import Rules, default_rules
 from padaflow.plans.compiled import Entry, Lexicon, compile_lexicon, fingerprint
 from padaflow.sources import lexicon as source
@@ -75,6 +75,8 @@ class Local:
     _fuzzy: Fuzzy | None = field(default=None, repr=False)
 
     def __call__(self, text: str) -> list[dict[str, Any]]:
+        if not (self.fuzzy or self.recognizers or touches(self.lexicon, text)):
+            return []
         normal = normalize(text)
         ctx = Context(normal, tokenize(normal.text), self.lexicon)
         spans = recognize(ctx)

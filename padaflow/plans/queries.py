@@ -73,7 +73,7 @@ KEYED = f"{TOKENS}, {DISTINCT}, {KEYS}, kt AS MATERIALIZED (SELECT doc_id, pos,
 TERMS = f"lex0 AS (SELECT DISTINCT token AS term FROM (SELECT unnest({WORDS('text')}) AS token FROM benchmark) WHERE length(token) >= {LONG})"
 LABEL = "CASE WHEN substr(lower(term), 1, 1) < 'i' THEN 'FIRST' WHEN substr(lower(term), 1, 1) < 'r' THEN 'MIDDLE' ELSE 'LAST' END"
 LEX = f"{TERMS}, lex AS MATERIALIZED (SELECT min(term) AS entry, key, min({LABEL}) AS label FROM (SELECT term, {fold_sql('term')} AS key FROM lex0) GROUP BY key)"
-HITS = f"{KEYED}, {LEX}, hits AS MATERIALIZED (SELECT doc_id, pos, token, kt.key, entry, label FROM kt JOIN lex USING (key))"
+HITS = f"{KEYED}, {LEX}, named0 AS MATERIALIZED (SELECT token, key, entry, label FROM keys JOIN lex USING (key)), hits AS MATERIALIZED (SELECT doc_id, pos, token, key, entry, label FROM tok JOIN named0 USING (token))"
 
 
 # ------------------------------------------------------- the same in Spark
@@ -94,7 +94,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.keyed(tokens(spark, sf_dir)).join(lexicon(spark, sf_dir), "key").select("doc_id", "pos", "token", "key", "entry", "label")
+    return relational.term_hits(tokens(spark, sf_dir), lexicon(spark, sf_dir)).select("doc_id", "pos", "token", "key", "entry", "label")
 
 
 def engine(spark: SparkSession, sf_dir: str, **options: object) -> Engine:
@@ -156,17 +156,21 @@ def gazetteer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("doc_id", "pos", "token", "entry", "label")
 
 
-_PHRASES = f"""ph AS (SELECT DISTINCT item_id, list_transform(w[1:3], lambda x: {fold_sql('x')}) AS path FROM (SELECT item_id, {WORDS('text')} AS w FROM benchmark)),
-pl AS (SELECT min(item_id) AS entry, path FROM ph WHERE len(path) = 3 GROUP BY path)"""
+_RUNS = f"""bw AS MATERIALIZED (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT item_id, {WORDS('text')} AS w FROM benchmark)),
+bk AS MATERIALIZED (SELECT token, {fold_sql('token')} AS key FROM (SELECT DISTINCT token FROM bw)),
+bl AS (SELECT item_id, i, key AS k1, lead(key, 1) OVER d AS k2, lead(key, 2) OVER d AS k3, lead(key, 3) OVER d AS k4 FROM bw JOIN bk USING (token) WINDOW d AS (PARTITION BY item_id ORDER BY i)),
+runs AS MATERIALIZED (SELECT min(item_id) AS entry, k1, k2, k3, k4 FROM bl WHERE k4 IS NOT NULL GROUP BY k1, k2, k3, k4)"""
 
 
-@query(f"""WITH {KEYED}, {_PHRASES}
-SELECT a.doc_id, CAST(a.pos AS INTEGER) AS start, pl.entry FROM pl JOIN kt a ON a.key = pl.path[1] JOIN kt b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.key = pl.path[2]
-JOIN kt c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 AND c.key = pl.path[3]""")
+@query(f"""WITH {TOKENS}, {DISTINCT}, {KEYS}, {_RUNS},
+l AS (SELECT doc_id, pos, key AS k1, lead(key, 1) OVER d AS k2, lead(key, 2) OVER d AS k3, lead(key, 3) OVER d AS k4 FROM tok JOIN keys USING (token) WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, CAST(pos AS INTEGER) AS start, entry FROM l JOIN runs USING (k1, k2, k3, k4)""")
 def phrase_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(C.words("text"), 1, 3).alias("w")).where("size(w) = 3")
-    terms = items.select(F.col("item_id").alias("entry"), F.lit("PASSAGE").alias("label"), F.array_join("w", " ").alias("term"), F.transform("w", lambda x: C.fold(x)).alias("path"))
-    terms = terms.groupBy("path").agg(F.min_by(F.struct("entry", "label", "term"), "entry").alias("t")).select("t.*")
+    """Every run of four words of the benchmark passages as a term (OP-40), found in all documents."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", C.words("text").alias("w")).where("size(w) >= 4")
+    runs = words.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.slice("w", i, F.lit(4)))).alias("w"))
+    terms = runs.select(F.col("item_id").alias("entry"), F.lit("PASSAGE").alias("label"), F.array_join("w", " ").alias("term"), F.transform("w", lambda x: C.fold(x)).alias("path"))
+    terms = terms.groupBy("path").agg(F.min(F.struct("entry", "label", "term")).alias("t")).select("t.*")
     return relational.phrase_matches(docs(spark, sf_dir), terms).select("doc_id", "start", "entry")
 
 
@@ -185,19 +189,20 @@ def surface_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.surface_map(terms.select(F.col("term").alias("entry"), "term"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT list_transform(w[1:3], lambda x: {fold_sql('x')}) AS path FROM (SELECT {WORDS('text')} AS w FROM benchmark) WHERE len(w) >= 3),
-e AS (SELECT path, unnest([1, 2, 3]) AS n FROM p)
-SELECT array_to_string(path[1:n - 1], ' ') AS parent, path[n] AS key, array_to_string(path[1:n], ' ') AS child, bool_or(n = 3) AS terminal FROM e GROUP BY ALL""")
+@query(f"""WITH {_RUNS}, e AS (SELECT [k1, k2, k3, k4] AS path, unnest([1, 2, 3, 4]) AS n FROM runs)
+SELECT array_to_string(path[1:n - 1], ' ') AS parent, path[n] AS key, array_to_string(path[1:n], ' ') AS child, bool_or(n = 4) AS terminal FROM e GROUP BY ALL""")
 def trie_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "benchmark").select(C.words("text").alias("w")).where("size(w) >= 3")
-    return relational.trie_edges(w.select(F.transform(F.slice("w", 1, 3), lambda x: C.fold(x)).alias("path")).distinct())
+    """The trie (OP-39) of all runs of four words of the benchmark passages."""
+    words = table(spark, sf_dir, "benchmark").select(F.transform(C.words("text"), lambda x: C.fold(x)).alias("w")).where("size(w) >= 4")
+    return relational.trie_edges(words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.slice("w", i, F.lit(4)))).alias("path")).distinct())
 
 
 @query(f"""WITH {TERMS}, k AS MATERIALIZED (SELECT DISTINCT substr(lower(term), 1, 4) AS entry, {fold_sql('term')} AS key FROM lex0)
-SELECT DISTINCT a.key, b.key AS other FROM k a JOIN k b USING (entry)""")
+SELECT a.key, array_to_string(list_sort(list(DISTINCT b.key)), ',') AS others FROM k a JOIN k b USING (entry) GROUP BY a.key""")
 def synonym_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").select(F.explode(C.words("text")).alias("term")).where(F.length("term") >= LONG)
-    return relational.synonym_closure(terms.select(F.substring(F.lower("term"), 1, 4).alias("entry"), C.fold("term").alias("key")))
+    closed = relational.synonym_closure(terms.select(F.substring(F.lower("term"), 1, 4).alias("entry"), C.fold("term").alias("key")))
+    return closed.select("key", F.array_join("others", ",").alias("others"))
 
 
 _LATEST = "SELECT user_id, min(event_id) AS place, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
@@ -241,7 +246,10 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"WITH {HITS} SELECT k.doc_id, k.pos, k.token, CASE WHEN h.label IS NULL THEN 'O' ELSE 'B-' || h.label END AS tag FROM kt k LEFT JOIN hits h USING (doc_id, pos)")
+_NAMED = f"{TOKENS}, {DISTINCT}, {KEYS}, {LEX}, named AS MATERIALIZED (SELECT token, entry, label FROM keys JOIN lex USING (key))"
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, pos, token, CASE WHEN label IS NULL THEN 'O' ELSE 'B-' || label END AS tag FROM tok LEFT JOIN named USING (token)")
 def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir).withColumns({"start": F.col("pos"), "end": F.col("pos") + 1})
     e = hits(spark, sf_dir).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "label", F.col("pos").alias("ord"))
