@@ -114,6 +114,15 @@ def window_keys(tokens: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     return near.where(inside & ~F.col("pos").between(F.col("first"), F.col("last") - 1)).select("doc_id", "span", "key").distinct()
 
 
+def neighbours(spans: DataFrame, window: int) -> DataFrame:
+    """``spans(doc_id, pos)`` of one token each with n, the other spans fewer than ``window`` tokens away; those without are left out.
+
+    A frame over positions: no self-join.
+    """
+    frame = W.partitionBy("doc_id").orderBy("pos").rangeBetween(-window, window)
+    return spans.withColumn("n", F.count("*").over(frame) - 1).where("n > 0").select("doc_id", "pos", "n")
+
+
 def uncovered(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Tokens in no span."""
     covered = spans.select("doc_id", F.explode(F.sequence("first", F.col("last") - 1)).alias("pos")).distinct()

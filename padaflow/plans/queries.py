@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from padaflow.functions import columns as C
 from padaflow.functions import script
 from padaflow.operators import analytics, evaluate, export, importer, mine, relational
+from padaflow.plans import compiled
 from padaflow.plans.engine import Engine
+from padaflow.sources import lexicon as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -205,15 +207,12 @@ def synonym_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.select("key", F.array_join("others", ",").alias("others"))
 
 
-_LATEST = "SELECT user_id, min(event_id) AS place, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
-
-
-@query(_LATEST)
+@query("SELECT CAST(user_id AS VARCHAR) AS id, min(event_id) AS place, upper(arg_max(event_type, event_id)) AS label, arg_max(event_type, event_id) AS canonical FROM events GROUP BY user_id")
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merge of entries (OP-35): the last row of an id, at the first one's place."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("place"), F.max_by("event_type", "event_id").alias("event_type"))
-
-
+    """The validated merge of lexicon rows (OP-34, 35): the last row of an id, at the first one's place."""
+    own = {"id": F.col("user_id").cast("string"), "label": F.col("event_type"), "canonical_iast": F.col("event_type"), "row_ord": F.col("event_id"), "file_ord": F.lit(0)}
+    raw = table(spark, sf_dir, "events").select(*(own.get(c, F.lit("")).alias(c) for c in dict.fromkeys([*source.TEXT_COLUMNS, *own])))
+    return source.entries(raw).select("id", F.col("row_ord").alias("place"), "label", "canonical")
 
 
 @query(f"WITH {HITS} SELECT DISTINCT h.doc_id, h.pos AS span, k.key FROM hits h JOIN kt k ON k.doc_id = h.doc_id AND k.pos BETWEEN h.pos - 3 AND h.pos + 3 AND k.pos != h.pos")
@@ -224,10 +223,8 @@ def window_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HITS} SELECT a.doc_id, a.pos, count(*) AS n FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.pos != b.pos AND abs(a.pos - b.pos) - 1 < 6 GROUP BY a.doc_id, a.pos""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other candidates in a window (OP-50), as a frame over positions: no self-join."""
-    h = hits(spark, sf_dir).select("doc_id", "pos")
-    frame = W.partitionBy("doc_id").orderBy("pos").rangeBetween(-6, 6)
-    return h.withColumn("n", F.count("*").over(frame) - 1).where("n > 0").select("doc_id", "pos", "n")
+    """Other candidates in a window (OP-50)."""
+    return relational.neighbours(hits(spark, sf_dir).select("doc_id", "pos"), 6)
 
 
 @query(f"WITH {HITS} SELECT k.doc_id, count(*) AS n FROM kt k LEFT JOIN hits h ON h.doc_id = k.doc_id AND h.pos = k.pos WHERE h.pos IS NULL GROUP BY k.doc_id")
@@ -236,7 +233,13 @@ def uncovered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.uncovered(tokens(spark, sf_dir), spans).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS}, sp AS (SELECT doc_id, pos AS first, CAST(pos + n AS INTEGER) AS last, length(token) AS rank, n AS ord FROM hits, (SELECT unnest([1, 2, 3]) AS n)),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first - last, rank, first, ord, last) AS i FROM sp),
+r(doc_id, i, kept) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(f INTEGER, l INTEGER)[]) FROM o UNION ALL
+  SELECT r.doc_id, o.i, CASE WHEN len(list_filter(kept, lambda k: k.f < o.last AND o.first < k.l)) = 0 THEN list_append(kept, {{'f': o.first, 'l': o.last}}) ELSE kept END FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1),
+z AS (SELECT doc_id, unnest(arg_max(kept, i)) AS k FROM r GROUP BY doc_id)
+SELECT o.doc_id, o.first, o.last, CAST(o.rank AS INTEGER) AS rank, CAST(o.ord AS INTEGER) AS ord FROM z JOIN o ON o.doc_id = z.doc_id AND o.first = z.k.f AND o.last = z.k.l""")
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy overlap resolution (OP-48) of runs of one to three tokens that begin at a hit."""
     h = hits(spark, sf_dir).select("doc_id", F.col("pos").alias("first"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"), F.length("token").alias("rank"))
@@ -281,7 +284,7 @@ def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.prf(evaluate.with_micro(evaluate.exact(*_sides(spark, sf_dir))))
 
 
-@query()
+@query(f"WITH {HITS}, {_EVAL}, {_COUNTS} SELECT * FROM counts")  # spans of one token overlap only if they are equal
 def eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.overlap(*_sides(spark, sf_dir))
 
@@ -293,14 +296,27 @@ def eval_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mismatches(*_sides(spark, sf_dir))
 
 
-@query("SELECT doc_id, CAST(0 AS DOUBLE) AS garble FROM documents")
+#: Devanagari texts, some of them garbled: words that begin with a vowel sign or hold a letter that legacy fonts leave behind.
+GARBLED = ("ाक ख ab", "वात पित्त कफ", "िक ऩर शुद्ध पाठ", "ॆ क", "", "plain words", "ऻ ऺ ऄ a ी", "रस\tरक्त\nौम")
+_TEXTS = "texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i - 1}, '{t}')" for i, t in enumerate(GARBLED)) + "))"
+
+
+@query(f"""WITH {_TEXTS}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: regexp_matches(x, '[ऀ-ॿ]')) AS w FROM texts),
+b AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '^[ा-ौॢॣ]') OR regexp_matches(x, '[{mine.ARTIFACTS}]'))) AS bad FROM w)
+SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE CAST(bad AS DOUBLE) / n END AS garble FROM b""")
 def garble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", mine.garble_score("text").alias("garble"))
+    """The garble score (OP-70) of all documents, and of some Devanagari texts, whose ids are negative."""
+    own = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(GARBLED)], "doc_id bigint, text string")
+    return docs(spark, sf_dir).unionByName(own).select("doc_id", mine.garble_score("text").alias("garble"))
+
+
+#: Normalisation as far as the documents need it: composed letters, plain quotes and hyphens, no soft hyphens or joiners.
+_NORMAL = "translate(nfc_normalize(text), '‘’–‐‑­‌‍﻿', '" + "''" * 2 + "---')"
 
 
-@query("SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS segment, unnest(s) AS text FROM (SELECT doc_id, string_split_regex(text, '[।॥.\n]+') AS s FROM documents)")
+@query(f"SELECT doc_id AS file, CAST(unnest(range(len(s))) AS INTEGER) AS segment, unnest(s) AS text FROM (SELECT doc_id, string_split_regex({_NORMAL}, '[।॥.\n]+') AS s FROM documents)")
 def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", mine.SEGMENT)).alias("segment", "text"))
+    return mine.segments(docs(spark, sf_dir).select(F.col("doc_id").alias("file"), "text"))
 
 
 _NGRAMS = f"""{TOKENS}, {DISTINCT}, {KEYS}, w AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM tok JOIN keys USING (token) WHERE length(token) >= 3),
@@ -393,26 +409,47 @@ def label_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon(spark, sf_dir).select("label").distinct()
 
 
-@query("SELECT turn, role, count(*) AS n, sha256(string_agg(text, '|' ORDER BY conv_id)) AS digest FROM conversations GROUP BY turn, role")
+@query(f"SELECT sha256(encode('{script.KEY_VERSION}|True') || unhex(string_agg(sha256(n_name), '' ORDER BY n_nationkey))) AS digest FROM nation")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A content hash over ordered parts (OP-39d)."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "text"))), lambda x: x["text"])
-    return table(spark, sf_dir, "conversations").groupBy("turn", "role").agg(F.count("*").alias("n"), F.sha2(F.array_join(parts, "|"), 256).alias("digest"))
+    """The fingerprint (OP-39d) of a lexicon whose files are the names of the nations."""
+    parts = [r.n_name.encode() for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows at any size
+    return spark.createDataFrame([(compiled.fingerprint(parts, True),)], "digest string")
+
+
+def _annotated(spark: SparkSession, sf_dir: str, most: int = 5) -> DataFrame:
+    """The conversations with their first ``most`` characters as an entity labelled by the role."""
+    end = F.least(F.lit(most), F.length("text"))
+    e = F.struct(F.lit(0).alias("start"), end.alias("end"), F.substring("text", 1, most).alias("text"), F.col("role").alias("label"), F.concat(F.lit("role:"), "role").alias("entity_id"), F.col("role").alias("canonical"), F.lit(0.5).alias("confidence"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.array(e).alias("entities"), F.lit("v1").alias("lexicon_version"))
+
 
+_JSON_ENTITY = """'{"start":0,"end":' || least(5, length(text)) || ',"text":' || to_json(left(text, 5)) || '"""
 
-@query("SELECT conv_id, turn, '{\"text\":' || to_json(text) || ',\"role\":' || to_json(role) || '}' AS value FROM conversations")
+
+@query(f"""SELECT '{{"text":' || to_json(text) || ',"entities":[' || {_JSON_ENTITY},"label":' || to_json(role) || ',"entity_id":' || to_json('role:' || role) || ',"canonical":' || to_json(role) || ',"confidence":0.5}}],"lexicon_version":"v1"}}' AS value FROM conversations""")
 def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("text", "role")).alias("value"))
+    """JSON lines (OP-58, 96) of the annotated conversations."""
+    return export.json_lines(_annotated(spark, sf_dir))
 
 
-@query()
+@query(f"""SELECT '{{"data":{{"text":' || to_json(text) || '}},"predictions":[{{"model_version":"padaflow","result":[{{"from_name":"label","to_name":"text","type":"labels","value":' || {_JSON_ENTITY},"labels":[' || to_json(role) || ']}},"score":0.5,"meta":{{"entity_id":' || to_json('role:' || role) || ',"canonical":' || to_json(role) || '}}}}]}}]}}' AS value FROM conversations""")
+def export_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation tasks (OP-61) of the annotated conversations."""
+    return export.tasks(_annotated(spark, sf_dir))
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, text, role, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT *, {WORDS('text')} AS w FROM conversations)),
+v AS (SELECT conv_id, turn, string_agg(token || '\t' || CASE WHEN i = 1 AND starts_with(text, token) THEN 'B-' ELSE 'I-' END || role || '\n', '' ORDER BY i) AS value FROM u GROUP BY conv_id, turn)
+SELECT coalesce(value, '') AS value FROM conversations LEFT JOIN v USING (conv_id, turn)""")
 def export_conll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.conll(engine(spark, sf_dir).annotate(docs(spark, sf_dir)))
+    """CoNLL lines (OP-59, 60) of the conversations, each one entity from its first character to its last."""
+    return export.conll(_annotated(spark, sf_dir, 1 << 30))
 
 
-@query()
-def export_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.tasks(engine(spark, sf_dir).annotate(docs(spark, sf_dir)))
+@query("SELECT conv_id, turn, '[' || left(text, 5) || '|' || role || ']' || substr(text, 6) AS marked FROM conversations")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked text (OP-90) of the annotated conversations."""
+    return _annotated(spark, sf_dir).select("conv_id", "turn", analytics.highlight("text", "entities").alias("marked"))
 
 
 @query()
@@ -430,15 +467,9 @@ def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).lookup_all(words)
 
 
-@query()
-def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine(spark, sf_dir).annotate(docs(spark, sf_dir))
-    return found.select("doc_id", analytics.highlight("text", "entities").alias("marked"))
-
-
-@query()
+@query(f"SELECT doc_id, {_NORMAL} AS text, 0 AS start, CAST(length(text) AS INTEGER) AS end FROM documents WHERE length({_NORMAL}) > 0")
 def normalize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised text and the original range of its first character and its last (OP-11, 12)."""
     n = docs(spark, sf_dir).withColumn("n", C.normalize("text")).where("length(n.text) > 0")
-    size = F.length("n.text")
-    return n.select("doc_id", F.col("n.text").alias("text"), C.to_original(F.col("n"), F.lit(0), size).alias("range"))
+    found = C.to_original(F.col("n"), F.lit(0), F.length("n.text"))
+    return n.select("doc_id", F.col("n.text").alias("text"), found["start"].alias("start"), found["end"].alias("end"))
