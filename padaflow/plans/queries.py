@@ -114,6 +114,36 @@ def ner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.flatten(engine(spark, sf_dir).annotate(docs(spark, sf_dir))).drop("metadata", "alternatives")
 
 
+#: Texts in several scripts, and what the seed lexicon and rules make of them, read off the rules by hand:
+#: (surface, label, entity_id, match_type, confidence, ambiguous).
+GOLDEN: tuple[tuple[str, tuple[tuple[str, str, str, str, float, bool], ...]], ...] = (
+    ("हरीतकी क्वाथ पित्त विकार में दें", (("हरीतकी क्वाथ", "FORMULATION", "composite:dravya:haritaki+dosage_form:kvatha", "compose", 0.9, False), ("पित्त विकार", "ROGA", "composite:dosha:pitta+roga:roga", "compose", 0.9, False))),
+    ("haritaki kvath pitta vikar mein dein", (("haritaki kvath", "FORMULATION", "composite:dravya:haritaki+dosage_form:kvatha", "compose", 0.9, False), ("pitta vikar", "ROGA", "composite:dosha:pitta+roga:roga", "compose", 0.9, False))),
+    ("तुलसीक्वाथेन कासः शाम्यति।", (("तुलसीक्वाथेन", "FORMULATION", "composite:dravya:tulasi+dosage_form:kvatha", "compound", 0.85, False), ("कासः", "SYMPTOM", "symptom:kasa", "phonetic", 0.95, False))),
+    ("कफज्वर में अडूसा", (("कफज्वर", "ROGA", "composite:dosha:kapha+roga:jvara", "compound", 0.85, False), ("अडूसा", "DRAVYA", "dravya:vasa", "exact", 1.0, False))),
+    ("Yograj   guggul se sujan kam, phir basti", (("Yograj   guggul", "FORMULATION", "formulation:yogaraja_guggulu", "phonetic", 0.95, False), ("sujan", "SYMPTOM", "symptom:shotha", "exact", 1.0, False), ("basti", "PROCEDURE", "procedure:basti", "exact", 1.0, False))),
+    ("vatarogeshu nasyam", (("vatarogeshu", "ROGA", "roga:vatavyadhi", "stem", 0.9, False), ("nasyam", "PROCEDURE", "procedure:nasya", "stem", 0.9, False))),
+    ("amla madhura ushna virya", (("amla", "PROPERTY", "property:amla", "exact", 1.0, False), ("madhura", "PROPERTY", "property:madhura", "exact", 1.0, False), ("ushna virya", "PROPERTY", "composite:property:ushna+property:generic_virya", "compose", 0.9, False))),
+    ("amla aur shahad", (("amla", "DRAVYA", "dravya:amalaki", "exact", 1.0, False), ("shahad", "DRAVYA", "dravya:madhu", "exact", 1.0, False))),
+    ("tvak par lepa", (("tvak", "DRAVYA", "dravya:tvak", "exact", 0.85, True),)),
+    ("guru ki aagya", ()),
+    ("guru aur madhura", (("guru", "PROPERTY", "property:guru", "exact", 0.8, False), ("madhura", "PROPERTY", "property:madhura", "exact", 1.0, False))),
+    ("pachaka pitta", (("pachaka pitta", "DOSHA", "composite:dosha:pachaka+dosha:pitta", "compose", 0.9, False),)),
+    ("mutra rog", (("mutra rog", "ROGA", "composite:mala:mutra+roga:roga", "compose", 0.9, False),)),
+    ("tulsī-patra", (("tulsī", "DRAVYA", "dravya:tulasi", "phonetic", 0.95, False),)),
+    ("cough, swelling and burning", ()),
+)
+_GOLDEN_ROWS = [(i, n, surface, text.index(surface), *rest) for i, (text, found) in enumerate(GOLDEN) for n, (surface, *rest) in enumerate(found)]
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, ord, text, start, start + length(text) AS end, label, entity_id, match_type, CAST(confidence AS DOUBLE) AS confidence, ambiguous FROM (VALUES " + ", ".join(f"({i}, {n}, '{t}', {a}, '{label}', '{e}', '{kind}', {conf}, {amb})" for i, n, t, a, label, e, kind, conf, amb in _GOLDEN_ROWS) + ") AS g(doc_id, ord, text, start, label, entity_id, match_type, confidence, ambiguous)")
+def ner_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole recogniser (OP-40 to OP-57) with the seed lexicon over texts in several scripts."""
+    own = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(GOLDEN)], "doc_id bigint, text string")
+    rows = analytics.flatten(Engine.load(spark, []).annotate(own))
+    return rows.select("doc_id", "ord", "text", "start", F.col("end").cast("int").alias("end"), "label", "entity_id", "match_type", "confidence", "ambiguous")
+
+
 @query(f"WITH {TOKENS} SELECT doc_id, pos, token FROM tok")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir)
