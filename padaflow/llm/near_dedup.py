@@ -7,8 +7,9 @@
 3. In each bucket the member with the most bucket mates is the hub, and every other member is one
    candidate edge to it: a bucket of n members makes n - 1 edges.
 4. Edges are confirmed on full sets.  Members that differ from their hub in similar ways may be
-   linked past it, so the shingles that a member adds to its hub are sketched too; equal slots under
-   one hub make the next layer of stars, confirmed likewise.  Layers, like bands, set the recall.
+   linked past it, so the shingles that a member adds to its hub (or, if there are none, those that it
+   lacks) are sketched too; equal slots under one hub make the next layer of stars, confirmed likewise,
+   until a layer has no new pair.  Bands and slots set the recall.
 5. Connected components of the confirmed edges.
 """
 
@@ -24,8 +25,8 @@ from padaflow.llm.components import components
 from padaflow.llm.kernels import U, fold, mix, shingle_sets, signed
 
 BANDS, ROWS = 24, 4
-#: Slots of the sketch of what a member adds to its hub, and layers of stars.
-SECOND, LAYERS = 24, 4
+#: Slots of the sketch of what a member adds to its hub.
+SECOND = 24
 
 
 class OnePermutation:
@@ -98,27 +99,34 @@ def _sets(width: int):
 
 
 def _confirm(percent: int, second: int):
-    """Compare the sets of x and y; sketch what x adds to y."""
+    """Compare the sets of x and y; sketch what x adds to y, or what it lacks if it adds nothing."""
 
     def make():
         oph = OnePermutation(second)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             linked: list[bool] = []
-            plus: list[np.ndarray] = []
+            parts: list[np.ndarray] = []
             at: list[int] = []
+            seeds: list[int] = []
             for i, (p, q) in enumerate(zip(batch.column("sx").to_pylist(), batch.column("sy").to_pylist(), strict=True)):
                 x, y = np.frombuffer(p, dtype=U), np.frombuffer(q, dtype=U)
                 common = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
                 n = int(common.sum())
                 linked.append(100 * n >= percent * (len(x) + len(y) - n))
                 if n < len(x):
-                    plus.append(x[~common])
+                    parts.append(x[~common])
+                else:
+                    parts.append(y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y])
+                if len(parts[-1]):
                     at.append(i)
+                    seeds.append(int(n == len(x)))
+                else:
+                    parts.pop()
             keys: list[list[int]] = [[] for _ in linked]
-            if plus:
+            if parts:
                 hub = batch.column("y").to_numpy()[at].astype(np.int64).view(U)
-                slots = oph.slots(plus)
+                slots = oph.slots(parts) ^ np.array(seeds, dtype=U)[:, None]
                 own = signed(np.stack([fold(np.stack([hub, slots[:, k]], axis=1), 1000 + k) for k in range(second)], axis=1))
                 for i, k in zip(at, own.tolist(), strict=True):
                     keys[i] = k
@@ -144,7 +152,7 @@ def _stars(members: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     return shared.join(hubs, "key").where("x != y AND (far OR hub_far)").select("x", "y").distinct()
 
 
-def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, second: int = SECOND, layers: int = LAYERS) -> DataFrame:
+def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, second: int = SECOND) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but blank and \\x09-\\x0D, A-Z lower-cased; the set holds the distinct
@@ -161,8 +169,8 @@ def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int =
     reps = scratch.table(known.where("n_shingles > 0").groupBy(one).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*one, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
 
     members = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("x"), F.lit(True).alias("far")).distinct()
-    tried, links = None, None
-    for level in range(layers):
+    tried, links, level = None, None, 0
+    while True:
         pairs = _stars(members, scratch, f"l{level}")
         pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"l{level}_pairs")
         if pairs.isEmpty():
@@ -173,7 +181,8 @@ def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int =
         both = pairs.union(pairs.select("y", "x"))
         tried = both if tried is None else tried.union(both)
         members = checked.select(F.explode("keys").alias("key"), "x", (~F.col("linked")).alias("far")).groupBy("key", "x").agg(F.max("far").alias("far"))
-        scratch.drop(f"l{level}_shared", f"l{level}_ids", f"l{level}_sets")
+        scratch.drop(f"l{level}_shared", f"l{level}_ids", f"l{level}_sets", f"l{level}_hubs")
+        level += 1
     roots = components(links if links is not None else pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Copies of equal sets whose representatives are one doc_id are linked through it.
@@ -187,5 +196,6 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, wi
     """Verify ``pairs(x, y)`` on full shingle sets: x, y, linked, keys."""
     ids = scratch.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{tag}_ids")
     sets = scratch.table(arrow_map(side_join(docs, ids, "doc_id", "left_semi"), _sets(width), "doc_id bigint, s binary").where("octet_length(s) > 0"), f"{tag}_sets")
-    wide = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
+    hubs = scratch.table(sets.join(pairs.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{tag}_hubs")  # a hub's set is sent once if they are small
+    wide = side_join(pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x"), hubs.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
     return arrow_map(wide.select("x", "y", "sx", "sy"), _confirm(percent, second), "x bigint, y bigint, linked boolean, keys array<bigint>")
