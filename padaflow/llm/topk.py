@@ -1,10 +1,12 @@
 """Exact top-k search by inner product with norm ordering and SVD-rotated partial sums.
 
-Vectors are stored by descending length.  A block of vectors is skipped for a query if its greatest
-length times the query's is below the query's k-th score so far (Cauchy-Schwarz).  For the rest, the
-coordinates are rotated to the eigenvectors of the Gram matrix, so that the first few hold most of
-the length; their partial product plus the product of the residual lengths bounds the score, and
-only vectors whose bound reaches the k-th score are multiplied in full, in whole numbers.
+Vectors are stored by descending length and cut into ranges, queries into blocks.  The longest vectors give
+each query a floor that its k-th score reaches at least.  A range meets a block only if its greatest length
+times a query's can reach that query's floor (Cauchy-Schwarz); each meeting is a group of its own, of bounded
+size.  There, vectors go by descending length in parts that are skipped for a query whose k-th score so far
+they can't reach.  For the rest, the coordinates are rotated to the eigenvectors of the Gram matrix, so that
+the first few hold most of the length; their partial product plus the product of the residual lengths bounds
+the score, and only vectors whose bound reaches the k-th score are multiplied in full, in whole numbers.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from padaflow.llm.common import Scratch, small_batches
+from padaflow.llm.common import Scratch, side_join, small_batches
 
 K, SCALE, EVERY = 10, 1024, 100
-#: Queries answered by one pass over the vectors, vectors in a block, rotated coordinates summed first.
-QUERY_BLOCK, BLOCK, HEAD = 4096, 1024, 16
+#: log2 of the queries in a block and of the vectors in a range (least and most); vectors in a part, rotated coordinates summed first.
+QUERY_BITS, RANGE_BITS, BLOCK, HEAD = 12, (12, 16), 1024, 16
 SEEDS = 2048
 EXACT = float(1 << 53)
 
@@ -34,12 +36,13 @@ def whole(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return out.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of whole numbers as float64, shorter ones filled up with 0."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths, values = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = values
     return out
 
 
@@ -108,18 +111,34 @@ def search_block(best: Best, floor: np.ndarray, qids: np.ndarray, q: np.ndarray,
             best.add(j, exact[r, mine], ids[cols[mine]])
 
 
-def _search(qids: np.ndarray, q: np.ndarray, basis: np.ndarray, floor: np.ndarray, k: int):
+def _floors(seed_ids: np.ndarray, seeds: np.ndarray, k: int):
+    """Queries with their k-th best score among the seeds, if there are so many of other ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, qrot = Best(len(qids), k), q @ basis
         for batch in batches:
-            ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), q.shape[1])
-            order = np.argsort(-(x * x).sum(axis=1), kind="stable")
-            for a in range(0, len(order), BLOCK):
-                part = order[a : a + BLOCK]
-                search_block(best, floor, qids, q, qrot, basis, ids[part], x[part])
+            ids = batch.column("vec_id").to_numpy()
+            floor = np.full(len(ids), -np.inf)
+            if len(ids) and len(seeds) > k:
+                score = product(matrix(batch.column("v"), seeds.shape[1]), seeds).astype(float)
+                score[ids[:, None] == seed_ids[None, :]] = -np.inf
+                floor = np.partition(score, -k, axis=1)[:, -k]
+            yield pa.record_batch([*batch.columns, pa.array(floor)], names=[*batch.schema.names, "floor"])
+
+    return run
+
+
+def _search(basis: np.ndarray, k: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        qids, q = queries.column("vec_id").to_numpy(), matrix(queries.column("v"), len(basis))
+        ids, x = vectors.column("vec_id").to_numpy(), matrix(vectors.column("v"), len(basis))
+        best, qrot, floor = Best(len(qids), k), q @ basis, queries.column("floor").to_numpy()
+        order = np.argsort(-(x * x).sum(axis=1), kind="stable") if len(qids) else []
+        for a in range(0, len(order), BLOCK):
+            part = order[a : a + BLOCK]
+            search_block(best, floor, qids, q, qrot, basis, ids[part], x[part])
         row = np.repeat(np.arange(len(qids)), best.have)
         col = np.concatenate([np.arange(n) for n in best.have]) if len(row) else row
-        yield pa.record_batch([pa.array(qids[row]), pa.array(best.ids[row, col]), pa.array(best.scores[row, col])], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(qids[row], pa.int64()), pa.array(best.ids[row, col], pa.int64()), pa.array(best.scores[row, col], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -136,8 +155,13 @@ def topk(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, s
     spark = vectors.sparkSession
     small_batches(spark, 8192)
     base = whole(vectors.select("vec_id", "embedding"), scale)
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    stored = scratch.table(base.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), "vectors")
+    base = scratch.table(base, "base")
+    total, parallel = base.count(), spark.sparkContext.defaultParallelism
+    bits = min(RANGE_BITS[1], max(RANGE_BITS[0], (total // (4 * parallel)).bit_length()))
+    parts = max(1, min(2 * parallel, total >> bits), total >> (RANGE_BITS[1] + 4))
+    place = lambda b: F.shiftright(F.monotonically_increasing_id(), b)  # noqa: E731  (in a sorted partition: runs of 2**b rows)
+    stored = base.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
+    stored = scratch.table(stored.withColumn("r", place(bits)), "vectors")
     schema = "query_id bigint, vec_id bigint, score bigint"
     width = stored.agg(F.max(F.size("v"))).first()[0] or 1
     sums = stored.mapInArrow(_gram(width), "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()  # width ** 2 rows
@@ -145,22 +169,20 @@ def topk(vectors: DataFrame, scratch: Scratch, k: int = K, every: int = EVERY, s
     gram[sums["i"].to_numpy(dtype=np.int64)] = sums["g"]
     basis = np.ascontiguousarray(np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1])
 
-    asked = stored.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    asked = scratch.table(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    seeds = stored.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toPandas()  # lower bounds only; all rows are searched
+    seeds = stored.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).select("vec_id", "v").toPandas()  # lower bounds only; all rows are searched
     seed_x = matrix(pa.array(seeds["v"].tolist(), pa.list_(pa.int64())), width)
-    found = None
-    for b in range(blocks):  # each block is a bounded part of the stated queries
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas()
-        qids = part["vec_id"].to_numpy(dtype=np.int64)
-        q = matrix(pa.array(part["v"].tolist(), pa.list_(pa.int64())), width)
-        floor = np.full(len(q), -np.inf)
-        if len(q) and len(seed_x) > k:
-            score = product(q, seed_x).astype(float)
-            score[qids[:, None] == seeds["vec_id"].to_numpy()[None, :]] = -np.inf
-            floor = np.partition(score, -k, axis=1)[:, -k]
-        hits = stored.select("vec_id", "v").mapInArrow(_search(qids, q, basis, floor, k), schema)
-        found = hits if found is None else found.union(hits)
+    asked = stored.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max(F.struct("v", "norm2")).alias("m")).select("vec_id", "m.v", "m.norm2")
+    asked = asked.repartitionByRange(max(1, min(parallel, total // every >> QUERY_BITS)), F.desc("norm2")).sortWithinPartitions(F.desc("norm2"), "vec_id").withColumn("b", place(QUERY_BITS))
+    asked = asked.mapInArrow(_floors(seeds["vec_id"].to_numpy(dtype=np.int64), seed_x, k), "vec_id bigint, v array<bigint>, norm2 double, b bigint, floor double")
+    asked = scratch.table(asked, "queries")
+
+    # A vector of length l scores at most l times the query's; 1 and a billionth make up for rounding.
+    need = F.when(F.col("norm2") > 0, (F.col("floor") - F.abs("floor") * 1e-9 - 1) / F.sqrt("norm2")).otherwise(F.lit(float("-inf")))
+    blocks = asked.groupBy("b").agg(F.min(need).alias("need"))
+    ranges = stored.groupBy("r").agg(F.sqrt(F.max("norm2")).alias("top"))
+    meet = scratch.table(blocks.join(ranges, F.col("top") * (1 + 1e-9) >= F.col("need")).select("b", "r"), "meet")  # of blocks and ranges, not of rows
+    vectors = side_join(stored.select("r", "vec_id", "v"), meet, "r")
+    queries = side_join(asked.select("b", "vec_id", "v", "floor"), meet, "b")
+    found = vectors.groupBy("b", "r").cogroup(queries.groupBy("b", "r")).applyInArrow(_search(basis, k), schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
