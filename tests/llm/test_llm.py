@@ -170,6 +170,19 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert len({r.score for r in got if r.doc_id in (1000, 1001)}) == 1
 
 
+def test_held_out_labels_never_reach_a_score(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 30)) + (" nitwit" if i % 4 == 0 else "")) for i in range(160)] + [(7, "repeated id"), (7, "nitwit")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    labels = [(i, int(i % 4 == 0)) for i in range(160)]
+    flipped = [(i, 1 - y if held(i) else y) for i, y in labels]
+    scores = []
+    for own in (labels, flipped):
+        lab = spark.createDataFrame(own, "doc_id bigint, toxic int")
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in toxicity(frame(spark, rows), lab, scratch(spark)).collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r.predicted for r in toxicity(frame(spark, EDGES), none, scratch(spark)).collect()} == {1}  # an even chance is over the threshold
@@ -644,3 +657,21 @@ def test_pipeline_stages(spark):
     out = scratch(spark).table(cp.STAGES[-1][1](spark, own, sf), "packed")
     assert out.select("doc_id").distinct().count() == own.count()
     assert json.dumps([s for s, _ in cp.STAGES])
+
+
+def test_pipeline_stages_on_edge_cases(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(i, t, "en", "s", None) for i, t in EDGES]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("predicted", "score", "line_no", "keys", "component_id", "kept", "found", "spans", "rep"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert 0 < len(kept) <= len(rows) and any(r.doc_id is None for r in kept), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert cp.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == len({i for i, _ in EDGES})
+    assert cp.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
