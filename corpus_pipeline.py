@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of documents.
+
+In all stages an empty table gives an empty one, other columns stay as they are whatever their names, and a null
+or empty text is kept (toxicity aside, where the score of an empty text decides, as for all).  Rows of a null
+doc_id are never dropped as toxic or as copies; their lines and personal data are treated like all others'.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.  Rows that share a doc_id go together; null texts score like empty ones."""
     scratch = Scratch(spark, "toxicity")
     scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch)
     return _without(docs, scored.where("predicted = 1").select("doc_id"), scratch)
@@ -40,7 +44,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of similar lines go; a document that only held such lines goes with them.
 
-    Texts that are shorter than a line of the fuzzy comparison stay whole.
+    Texts that are shorter than a line of the fuzzy comparison stay whole, null and empty ones too.  Rows that
+    share a doc_id are told apart by their text.
     """
     scratch = Scratch(spark, "lines")
     out = without_lines(docs, drops(docs, scratch), scratch)
@@ -51,19 +56,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
+    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8.
+
+    Texts without words have no copies; rows that share a doc_id are one document.
+    """
     scratch = Scratch(spark, "near")
     groups = near_dedup(docs, scratch, width=5, percent=80)
     return _without(docs, groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), scratch)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind.  Null text stays null; all rows stay."""
     return _sized(masked(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens.  A null text counts as empty: its end token alone."""
     return packed(docs, Scratch(spark, "packing"))
 
 
