@@ -94,6 +94,9 @@ class Lexicon:
     phrases: dict[tuple[str, ...], int] = field(default_factory=dict)
     #: Letters of the joined keys: a node maps a letter to a node, and "" marks the end of a key.
     spelled: dict = field(default_factory=dict)
+    #: How the keys that a candidate can begin with begin: up to three letters of strict and joined ones, up to two of loose ones.
+    heads: set[str] = field(default_factory=set)
+    loose_heads: set[str] = field(default_factory=set)
     #: Words met so far, and whether a candidate can begin at them.
     met: dict[str, bool] = field(default_factory=dict)
 
@@ -162,4 +165,6 @@ def compile_lexicon(entries: list[Entry], forms: list[tuple[str, str, bool, bool
         for letter in k:
             node = node.setdefault(letter, {})
         node[""] = {}
+    lex.heads = {k[:3] for n, k in lex.strict.edges if n == 0} | {k[:3] for k in lex.joined}
+    lex.loose_heads = {k[: 2 if len(k) > 2 else 1] for n, k in lex.loose.edges if n == 0}
     return lex
