@@ -8,9 +8,9 @@
    candidate edge to it: a bucket of n members makes n - 1 edges.
 4. Edges are confirmed on full sets.  Members that differ from their hub in similar ways may be
    linked past it, so the shingles that a member adds to its hub (or, if there are none, those that it
-   lacks) are sketched too; equal slots under one hub make the next layer of stars, confirmed likewise,
-   until a layer has no new pair.  Bands and slots set the recall.
-5. Connected components of the confirmed edges.
+   lacks) are sketched too; equal slots under one hub make the next layer of stars, confirmed likewise.
+   Groups are the connected components of all confirmed edges so far; members of one group needn't meet
+   again.  Layers end when none has a new pair of different groups.  Bands and slots set the recall.
 """
 
 from __future__ import annotations
@@ -138,18 +138,18 @@ def _confirm(percent: int, second: int):
 
 
 def _stars(members: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """``members(key, x, far)`` → candidate edges ``(x, y)``, y being the hub of a bucket of x.
+    """``members(key, x, root)`` → candidate edges ``(x, y)`` between groups, y being the hub of a bucket of x.
 
-    ``far`` marks a member whose link to the bucket's group isn't known yet; an edge needs one end
-    that is far.  The hub is the member with the most bucket mates (ties: least id).
+    Members of one group (of one root) are linked already.  The hub is the member with the most bucket mates
+    (ties: least id).
     """
-    full = members.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("any")).where("n > 1 AND any")
-    shared = scratch.table(members.join(full, "key").select("key", "x", "far", "n"), f"{tag}_shared")
+    full = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    shared = scratch.table(members.join(full, "key").select("key", "x", "root", "n"), f"{tag}_shared")
     mates = shared.groupBy("x").agg(F.sum(F.col("n") - 1).alias("mates"))
     ranked = shared.join(mates, "x")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("x")).alias("neg"), "far")).alias("h"))
-    hubs = hubs.select("key", (-F.col("h.neg")).alias("y"), F.col("h.far").alias("hub_far"))
-    return shared.join(hubs, "key").where("x != y AND (far OR hub_far)").select("x", "y").distinct()
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("x")).alias("neg"), "root")).alias("h"))
+    hubs = hubs.select("key", (-F.col("h.neg")).alias("y"), F.col("h.root").alias("hub_root"))
+    return shared.join(hubs, "key").where("root != hub_root").select("x", "y").distinct()
 
 
 def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, second: int = SECOND) -> DataFrame:
@@ -168,22 +168,27 @@ def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int =
     known = sig.where("doc_id IS NOT NULL")
     reps = scratch.table(known.where("n_shingles > 0").groupBy(one).agg(F.min(F.struct("doc_id", "bands")).alias("r")).select(*one, F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands")), "reps")
 
-    members = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("x"), F.lit(True).alias("far")).distinct()
-    tried, links, level = None, None, 0
+    members = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("x"), F.col("rep").alias("root")).distinct()
+    none = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
+    tried, sets, roots, level = None, None, none, 0
     while True:
         pairs = _stars(members, scratch, f"l{level}")
         pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), f"l{level}_pairs")
         if pairs.isEmpty():
             break
-        checked = scratch.table(_confirmed(docs, pairs, scratch, f"l{level}", width, percent, second), f"l{level}_checked")
-        found = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = found if links is None else links.union(found)
+        if sets is None:  # later layers only have documents of the first one's pairs
+            ids = scratch.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
+            sets = scratch.table(arrow_map(side_join(docs, ids, "doc_id", "left_semi"), _sets(width), "doc_id bigint, s binary").where("octet_length(s) > 0"), "sets")
+        checked = scratch.table(_confirmed(sets, pairs, scratch, f"l{level}", percent, second), f"l{level}_checked")
         both = pairs.union(pairs.select("y", "x"))
         tried = both if tried is None else tried.union(both)
-        members = checked.select(F.explode("keys").alias("key"), "x", (~F.col("linked")).alias("far")).groupBy("key", "x").agg(F.max("far").alias("far"))
-        scratch.drop(f"l{level}_shared", f"l{level}_ids", f"l{level}_sets", f"l{level}_hubs")
+        if not checked.where("linked").isEmpty():
+            links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            roots = scratch.table(components(roots.toDF("a", "b").union(links), scratch, f"l{level}_cc"), f"l{level}_roots")
+        sketched = checked.select(F.explode("keys").alias("key"), "x").distinct()
+        members = side_join(sketched, roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("root", "x").alias("root"))
+        scratch.drop(f"l{level}_shared", f"l{level}_hubs")
         level += 1
-    roots = components(links if links is not None else pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
 
     # Copies of equal sets whose representatives are one doc_id are linked through it.
     placed = known.where("n_shingles > 0").join(reps.drop("bands"), one).select("doc_id", F.col("rep").alias("node"), "n_shingles")
@@ -192,10 +197,8 @@ def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int =
     return placed.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, width: int, percent: int, second: int) -> DataFrame:
-    """Verify ``pairs(x, y)`` on full shingle sets: x, y, linked, keys."""
-    ids = scratch.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{tag}_ids")
-    sets = scratch.table(arrow_map(side_join(docs, ids, "doc_id", "left_semi"), _sets(width), "doc_id bigint, s binary").where("octet_length(s) > 0"), f"{tag}_sets")
+def _confirmed(sets: DataFrame, pairs: DataFrame, scratch: Scratch, tag: str, percent: int, second: int) -> DataFrame:
+    """Verify ``pairs(x, y)`` on full shingle sets ``sets(doc_id, s)``: x, y, linked, keys."""
     hubs = scratch.table(sets.join(pairs.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_semi"), f"{tag}_hubs")  # a hub's set is sent once if they are small
     wide = side_join(pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x"), hubs.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
     return arrow_map(wide.select("x", "y", "sx", "sy"), _confirm(percent, second), "x bigint, y bigint, linked boolean, keys array<bigint>")
