@@ -10,7 +10,8 @@
    linked past it, so the shingles that a member adds to its hub (or, if there are none, those that it
    lacks) are sketched too; equal slots under one hub make the next layer of stars, confirmed likewise.
    Groups are the connected components of all confirmed edges so far; members of one group needn't meet
-   again.  Layers end when none has a new pair of different groups.  Bands and slots set the recall.
+   again.  Layers end when one has no new pair of different groups, or links none of them.  Bands and slots
+   set the recall.
 """
 
 from __future__ import annotations
@@ -180,11 +181,12 @@ def near_dedup(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int =
             ids = scratch.table(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
             sets = scratch.table(arrow_map(side_join(docs, ids, "doc_id", "left_semi"), _sets(width), "doc_id bigint, s binary").where("octet_length(s) > 0"), "sets")
         checked = scratch.table(_confirmed(sets, pairs, scratch, f"l{level}", percent, second), f"l{level}_checked")
+        links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if links.isEmpty():
+            break
+        roots = scratch.table(components(roots.toDF("a", "b").union(links), scratch, f"l{level}_cc"), f"l{level}_roots")
         both = pairs.union(pairs.select("y", "x"))
-        tried = both if tried is None else tried.union(both)
-        if not checked.where("linked").isEmpty():
-            links = checked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            roots = scratch.table(components(roots.toDF("a", "b").union(links), scratch, f"l{level}_cc"), f"l{level}_roots")
+        tried = scratch.table(both if tried is None else tried.union(both), f"l{level}_tried")
         sketched = checked.select(F.explode("keys").alias("key"), "x").distinct()
         members = side_join(sketched, roots.withColumnRenamed("node", "x"), "x", "left").select("key", "x", F.coalesce("root", "x").alias("root"))
         scratch.drop(f"l{level}_shared", f"l{level}_hubs")
