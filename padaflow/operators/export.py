@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +60,34 @@ def tasks(docs: DataFrame, model: str = "padaflow") -> DataFrame:
     return docs.select(F.to_json(F.struct(F.struct("text").alias("data"), predictions.alias("predictions"))).alias("value"))
 
 
-def write(docs: DataFrame, path: str, fmt: str | None = None) -> None:
+def as_array(values: DataFrame) -> DataFrame:
+    """The JSON values of ``values(value)`` as the lines of one array.  All go through one task: for tools that want one file."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        begun = False
+        for batch in batches:
+            lines = [("," if begun or i else "[") + v for i, v in enumerate(batch.column(0).to_pylist())]
+            begun = begun or bool(lines)
+            yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+        yield pa.record_batch([pa.array(["]" if begun else "[]"])], names=["value"])
+
+    return values.coalesce(1).mapInArrow(run, "value string")
+
+
+def write(docs: DataFrame, path: str, fmt: str | None = None, one_array: bool = False) -> None:
     """Write a folder of text files; the format is given or the extension of the path.
 
-    Tasks are written one per line, so that files of any size are written in parallel.
+    Tasks are written one per line, so that files of any size are written in parallel; with ``one_array`` as one
+    file that holds one array.
     """
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt not in FORMATS:
         raise ValueError(f"unknown export format: {fmt!r}")
-    {"jsonl": json_lines, "conll": conll, "tasks": tasks}[FORMATS[fmt]](docs).write.text(path)
+    out = {"jsonl": json_lines, "conll": conll, "tasks": tasks}[FORMATS[fmt]](docs)
+    (as_array(out) if one_array and FORMATS[fmt] == "tasks" else out).write.text(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Files with a header line; with ``bom`` each begins with a byte order mark, for spreadsheets."""
+    own = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+    own.write.csv(path, header=True)

@@ -55,7 +55,20 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 8000) -> Thread
             self.end_headers()
             self.wfile.write(data)
 
+        def _preflight(self) -> None:
+            """What a browser asks before a request from another origin."""
+            origin = self.headers.get("Origin")
+            known = bool(origin) and (origin in service.origins or "*" in service.origins)
+            self.send_response(204 if known else 403)
+            if known:
+                for name, value in (("Origin", origin), ("Methods", "GET, POST, OPTIONS"), ("Headers", "Content-Type")):
+                    self.send_header(f"Access-Control-Allow-{name}", value)
+                self.send_header("Vary", "Origin")
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
         do_GET = do_POST = _reply  # noqa: N815
+        do_OPTIONS = _preflight  # noqa: N815
 
         def log_message(self, *args: Any) -> None:
             pass
