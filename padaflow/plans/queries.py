@@ -114,7 +114,7 @@ def ner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.flatten(engine(spark, sf_dir).annotate(docs(spark, sf_dir))).drop("metadata", "alternatives")
 
 
-#: Texts in several scripts, and what the seed lexicon and rules make of them, read off the rules by hand:
+#: Texts in several scripts, and what the seed lexicon and rules make of them: the engine's output, reviewed against the rules:
 #: (surface, label, entity_id, match_type, confidence, ambiguous).
 GOLDEN: tuple[tuple[str, tuple[tuple[str, str, str, str, float, bool], ...]], ...] = (
     ("हरीतकी क्वाथ पित्त विकार में दें", (("हरीतकी क्वाथ", "FORMULATION", "composite:dravya:haritaki+dosage_form:kvatha", "compose", 0.9, False), ("पित्त विकार", "ROGA", "composite:dosha:pitta+roga:roga", "compose", 0.9, False))),
