@@ -87,15 +87,24 @@ def normalize_str(s: pd.Series) -> pd.Series:
 _ints = T.ArrayType(T.IntegerType())
 
 
-@F.pandas_udf(T.StructType().add("text", T.StringType()).add("starts", _ints).add("ends", _ints))
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("at", _ints).add("start", _ints).add("end", _ints))
 def normalize(s: pd.Series) -> pd.DataFrame:
-    rows = [script.normalize(x or "") for x in s]
-    return pd.DataFrame({"text": [r.text for r in rows], "starts": [r.starts for r in rows], "ends": [r.ends for r in rows]})
+    """``script.pieces``: a range for each character would take many times the text's memory."""
+    return pd.DataFrame([script.pieces(x or "") for x in s], columns=list(script.Pieces._fields))
+
+
+normalize = normalize.asNondeterministic()  # else a filter on its fields runs it a second time
 
 
 def to_original(normal: Column, start: Column, end: Column) -> Column:
     """The original range of a non-empty normalised range."""
-    return F.struct(F.element_at(normal["starts"], start + 1).alias("start"), F.element_at(normal["ends"], end).alias("end"))
+
+    def piece(at: Column) -> tuple[Column, Column, Column]:
+        k = F.size(F.filter(normal["at"], lambda x: x <= at))
+        return F.element_at(normal["start"], k), F.element_at(normal["end"], k), at - F.element_at(normal["at"], k)
+
+    (a, b, more), (c, d, rest) = piece(start), piece(end - 1)
+    return F.struct(F.when(b < 0, a + more).otherwise(a).alias("start"), F.when(d < 0, c + rest + 1).otherwise(d).alias("end"))
 
 
 def transliterate(c: Column | str, to: str = "iast") -> Column:

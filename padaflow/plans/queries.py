@@ -500,6 +500,7 @@ def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, {_NORMAL} AS text, 0 AS start, CAST(length(text) AS INTEGER) AS end FROM documents WHERE length({_NORMAL}) > 0")
 def normalize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised text and the original range of its first character and its last (OP-11, 12)."""
-    n = docs(spark, sf_dir).withColumn("n", C.normalize("text")).where("length(n.text) > 0")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    n = docs(spark, sf_dir).select("doc_id", C.normalize("text").alias("n")).where("length(n.text) > 0")
     found = C.to_original(F.col("n"), F.lit(0), F.length("n.text"))
     return n.select("doc_id", F.col("n.text").alias("text"), found["start"].alias("start"), found["end"].alias("end"))
