@@ -433,6 +433,38 @@ def test_similar_lines_meet_beside_a_hub_unlike_both(spark, monkeypatch):
     assert got == set(range(1, 16, 2))
 
 
+def test_all_similar_lines_of_a_bucket_meet(spark, monkeypatch):
+    """Scattered edits leave two lines no block of their SimHashes, and no hub of the bucket is like both."""
+    rng = random.Random(33)
+    lines = []
+    for _ in range(40):
+        own = list(" ".join(prose(rng, 12)))
+        other = list(own)
+        for k in range(3, len(own), 7):
+            other[k] = rng.choice("xyzw")
+        lines += ["".join(own), "".join(other)]
+    source = line_dedup_module._lines
+
+    def with_one_bucket(*a):
+        make = source(*a)
+
+        def run():
+            step = make()
+
+            def all_in_one(batch):
+                for b in step(batch):
+                    yield b.set_column(b.num_columns - 1, "keys", pa.array([[1]] * b.num_rows, pa.list_(pa.int64())))
+
+            return all_in_one
+
+        return run
+
+    monkeypatch.setattr(line_dedup_module, "_lines", with_one_bucket)
+    monkeypatch.setattr(line_dedup_module, "CHUNK", 8, raising=False)
+    got = {r.doc_id for r in line_dedup(frame(spark, list(enumerate(lines))), scratch(spark)).collect() if r.n_dropped}
+    assert got == set(range(1, 80, 2))
+
+
 def test_distance_is_the_edit_distance():
     rng = random.Random(6)
     for n in range(300):
