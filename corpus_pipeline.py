@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: toxicity, line dedup, MinHash near-dedup, PII and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs.  All but the last return the columns of documents.
+again as the next one's docs.  All but the last return the columns of documents.  A stage deletes its scratch
+tables but those that the DataFrame it returns still reads.
 
 In all stages an empty table gives an empty one, other columns stay as they are whatever their names, and a null
 or empty text is kept (toxicity aside, where the score of an empty text decides, as for all).  Rows of a null
@@ -24,9 +25,11 @@ from padaflow.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows of ``ids(doc_id)``."""
-    return side_join(docs, scratch.table(ids.distinct(), "rejected"), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, ids: DataFrame, work: Scratch, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows of ``ids(doc_id)``, which is the last to read the tables of ``work``."""
+    rejected = scratch.table(ids.distinct(), "rejected")
+    work.clear()
+    return side_join(docs, rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -36,9 +39,9 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go.  Rows that share a doc_id go together; null texts score like empty ones."""
-    scratch = Scratch(spark, "toxicity")
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch)
-    return _without(docs, scored.where("predicted = 1").select("doc_id"), scratch)
+    work = Scratch(spark, "toxicity")
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), work)
+    return _without(docs, scored.where("predicted = 1").select("doc_id"), work, Scratch(spark, "toxic"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +63,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words have no copies; rows that share a doc_id are one document.
     """
-    scratch = Scratch(spark, "near")
-    groups = near_dedup(docs, scratch, width=5, percent=80)
-    return _without(docs, groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), scratch)
+    work = Scratch(spark, "near")
+    groups = near_dedup(docs, work, width=5, percent=80)
+    return _without(docs, groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id"), work, Scratch(spark, "copies"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +89,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
-    scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
+    scratch, docs, before = Scratch(spark, "pipeline"), documents(spark, sf_dir), []
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return docs

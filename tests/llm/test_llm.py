@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -707,3 +708,17 @@ def test_pipeline_stages_on_edge_cases(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert cp.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == len({i for i, _ in EDGES})
     assert cp.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_stages_leave_little_scratch(spark):
+    """What a stage no longer reads counts as disk in all later stages."""
+    import corpus_pipeline as cp
+
+    sf, root = "/root/testdata/sf0.001", spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    docs = cp.documents(spark, sf)
+    for name, stage in cp.STAGES[:3]:
+        before = set(os.listdir(root))
+        kept = stage(spark, docs, sf)
+        left = {table for x in set(os.listdir(root)) - before for table in os.listdir(f"{root}/{x}")}
+        assert left <= {"rejected", "drop", "twins", "repeated", "chosen"}, (name, left)
+        assert 0 < kept.count() <= docs.count()
