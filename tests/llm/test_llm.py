@@ -722,3 +722,40 @@ def test_pipeline_stages_leave_little_scratch(spark):
         left = {table for x in set(os.listdir(root)) - before for table in os.listdir(f"{root}/{x}")}
         assert left <= {"rejected", "drop", "twins", "repeated", "chosen"}, (name, left)
         assert 0 < kept.count() <= docs.count()
+
+
+def test_pairs_of_a_bucket_are_not_written(spark, monkeypatch):
+    """Lines with a long passage in common, unlike besides it: no pair is linked, and what the meetings return grows no faster than the lines."""
+    rng = random.Random(35)
+    passage = " ".join(prose(rng, 12))
+    lines = [f"{' '.join(prose(rng, 7))} {passage} {' '.join(prose(rng, 7))}" for _ in range(60)]
+    lines += [x[:40] + "other" + x[44:] for x in lines[:10]]
+    source, arrow = line_dedup_module._lines, line_dedup_module.arrow_map
+    made = []
+
+    def with_one_bucket(*a):
+        make = source(*a)
+
+        def run():
+            step = make()
+
+            def all_in_one(batch):
+                for b in step(batch):
+                    yield b.set_column(b.num_columns - 1, "keys", pa.array([[1, 2]] * b.num_rows, pa.list_(pa.int64())))
+
+            return all_in_one
+
+        return run
+
+    def counted(df, make, schema):
+        out = arrow(df, make, schema)
+        if schema.count(",") == 1 and "string" not in schema:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup_module, "_lines", with_one_bucket)
+    monkeypatch.setattr(line_dedup_module, "arrow_map", counted)
+    monkeypatch.setattr(line_dedup_module, "CHUNK", 16)
+    got = {r.doc_id for r in line_dedup(frame(spark, list(enumerate(lines))), scratch(spark)).collect() if r.n_dropped}
+    assert got == set(range(60, 70))
+    assert made and max(made) <= len(lines)
