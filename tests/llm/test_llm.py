@@ -677,6 +677,50 @@ def test_shard_edges(spark):
     assert shard(frame(spark, []), scratch(spark)).count() == 0
 
 
+def test_edit_distances_of_many_pairs_at_once():
+    from padaflow.llm import edits
+
+    rng = random.Random(41)
+    for letters in ("ab", "abcdefgh é漢", "".join(map(chr, range(97, 400)))):
+        lines = []
+        for n in [1, 2, 5, 30, 31, 32, 33, 63, 64, 65, 200, 400] * 12:
+            own = [rng.choice(letters) for _ in range(n)]
+            other = list(own)
+            for _ in range(rng.choice([0, 1, 4, 31, 60])):
+                p, kind = rng.randrange(len(other) + 1), rng.randrange(3)
+                other[p : p + kind % 2 + kind // 2] = [rng.choice(letters)] * (kind < 2)
+            if not n % 5:
+                other = other[n // 3 :] + other[: n // 3]
+            lines += ["".join(own), "".join(other)]
+        i, j = np.arange(0, len(lines), 2), np.arange(1, len(lines), 2)
+        real = np.array([distance(lines[a], lines[b], 10**6) for a, b in zip(i, j, strict=True)])
+        coding = edits.coded(lines)
+        assert (edits.differing(*coding, i, j) <= 6 * real).all()
+        for words, ask in ((1, edits.banded), (2, edits.wide), (3, edits.wide), (7, edits.wide)):
+            fits = np.abs(np.diff(coding[1])[i] - np.diff(coding[1])[j]) < 32 * words
+            got = ask(*coding, i[fits], j[fits], np.full(fits.sum(), 10**6), *([words] if words > 1 else []))
+            assert (got >= real[fits]).all() and (got == real[fits])[real[fits] < 32 * words].all()
+        most = np.array([int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9) for a, b in zip(i, j, strict=True)])
+        assert (edits.similar(lines, coding, i, j, most, line_dedup_module._within) == (real <= most)).all()
+
+
+def test_long_lines_of_a_bucket_are_compared_together(monkeypatch):
+    """Half of each line is a common passage, so lengths and trigrams rule few pairs out; hardly a pair is compared alone."""
+    rng = random.Random(43)
+    passage = " ".join(prose(rng, 70))
+    lines = [f"{passage} {' '.join(prose(rng, 40))}" for _ in range(40)]
+    lines += [x[:40] + "other" + x[44:] for x in lines[:5]]
+    one = distance
+    alone = []
+    monkeypatch.setattr(line_dedup_module, "distance", lambda *a: alone.append(1) or one(*a))
+    members = [{"node": k, "root": k, "size": len(x), "line": x, "keys": [7]} for k, x in enumerate(lines)]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("size", pa.int64()), ("line", pa.string()), ("keys", pa.list_(pa.int64()))]))
+    batch = pa.record_batch([pa.array([7], pa.int64()), pa.array([members], kind)], names=["key", "members"])
+    got = line_dedup_module._meet(0.8)()(batch)
+    assert {tuple(sorted(r.values())) for r in got.to_pylist()} == {(k, 40 + k) for k in range(5)}
+    assert len(alone) < 48
+
+
 # ----------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
